@@ -71,3 +71,21 @@ def local_path(uri: str) -> tuple:
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + os.path.abspath(uri))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package wherever the session was started: sends it along once per Spark context."""
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_inferweave_shipped", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="inferweave-"), "inferweave_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder in ("", "llm"):
+            for name in sorted(os.listdir(os.path.join(top, folder))):
+                if name.endswith(".py"):
+                    z.write(os.path.join(top, folder, name), os.path.join("inferweave", folder, name))
+    sc.addPyFile(path)
+    sc._inferweave_shipped = True

@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
+from inferweave.llm.near_dedup import op9_near_dedup
 from inferweave.llm.sentencepiece_bpe import op1_sentencepiece
 from inferweave.llm.sharding import op10_sharding
+from inferweave.llm.warc import OP2_ORACLE, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
+        "op2_warc": op2_warc,
         "op8_mixing": op8_mixing,
+        "op9_near_dedup": op9_near_dedup,
         "op10_sharding": op10_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_ORACLE}
+    return {"op2_warc": OP2_ORACLE, "op8_mixing": OP8_ORACLE}

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inferweave.llm.common import rows_of, table
+from inferweave.llm.common import rows_of, ship_package, table
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -205,6 +205,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     Null texts are empty texts: no ids, digests of nothing. An empty table gives an empty table; repeated rows, ties and
     other columns of docs don't matter: only doc_id and text are read.
     """
+    ship_package(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
