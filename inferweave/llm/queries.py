@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inferweave.llm.media import op6_media
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
 from inferweave.llm.near_dedup import op9_near_dedup
 from inferweave.llm.sentencepiece_bpe import op1_sentencepiece
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
+        "op6_media": op6_media,
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_sharding": op10_sharding,
