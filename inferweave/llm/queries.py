@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inferweave.llm.line_dedup import OP7_ORACLE, op7_line_dedup
 from inferweave.llm.media import op6_media
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
 from inferweave.llm.near_dedup import op9_near_dedup
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
         "op6_media": op6_media,
+        "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_sharding": op10_sharding,
@@ -26,4 +28,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_ORACLE, "op8_mixing": OP8_ORACLE}
+    return {"op2_warc": OP2_ORACLE, "op7_line_dedup": OP7_ORACLE, "op8_mixing": OP8_ORACLE}
