@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inferweave.llm.fingerprints import op5_fingerprints
 from inferweave.llm.line_dedup import OP7_ORACLE, op7_line_dedup
 from inferweave.llm.media import op6_media
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
@@ -19,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
+        "op5_fingerprints": op5_fingerprints,
         "op6_media": op6_media,
         "op7_line_dedup": op7_line_dedup,
         "op8_mixing": op8_mixing,
