@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from inferweave.llm.fingerprints import op5_fingerprints
+from inferweave.llm.html_extract import op4_html_extract
 from inferweave.llm.line_dedup import OP7_ORACLE, op7_line_dedup
 from inferweave.llm.media import op6_media
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
 from inferweave.llm.near_dedup import op9_near_dedup
 from inferweave.llm.sentencepiece_bpe import op1_sentencepiece
 from inferweave.llm.sharding import op10_sharding
+from inferweave.llm.toxicity import op3_toxicity
 from inferweave.llm.warc import OP2_ORACLE, op2_warc
 
 
@@ -20,6 +22,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": op1_sentencepiece,
         "op2_warc": op2_warc,
+        "op3_toxicity": op3_toxicity,
+        "op4_html_extract": op4_html_extract,
         "op5_fingerprints": op5_fingerprints,
         "op6_media": op6_media,
         "op7_line_dedup": op7_line_dedup,
