@@ -141,7 +141,7 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """rep, set (sorted 64-bit hashes) and fine (the second sketch) of documents (doc_id, text) with a set that isn't empty."""
+    """rep, set (sorted 64-bit hashes), fine (the second sketch) and bands (the band keys) of documents (doc_id, text) with a set that isn't empty."""
 
     def run(batches):
         import pyarrow as pa
@@ -150,9 +150,11 @@ def full_sets(docs: DataFrame) -> DataFrame:
             for rows in chunks(columns):
                 rows = [(i, s) for i, t in rows if len(s := shingles(t))]
                 fine = (mix(sketches([s for _, s in rows], FINE)) >> U64(56)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([s.tobytes() for _, s in rows], pa.binary()), pa.array([f.tobytes() for f in fine], pa.binary())], names=["rep", "set", "fine"])
+                bands = band_keys(sketches([s for _, s in rows]))
+                columns_out = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in ((s for _, s in rows), fine, bands)]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), *columns_out], names=["rep", "set", "fine", "bands"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "rep bigint, set binary, fine binary")
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "rep bigint, set binary, fine binary, bands binary")
 
 
 def joined_on_both(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
@@ -225,14 +227,15 @@ def within_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     """Likely pairs of different components that share a bucket; the buckets are compared block by block, on second sketches.
 
     members: key, m (size of the bucket), rep. Only buckets with several components are looked at. A block pair holds
-    at most some 2 x BLOCK members, however large the bucket is.
+    at most some 2 x BLOCK members, however large the bucket is. Two documents are compared in the bucket of the first
+    band they share, and so once.
     """
     labelled = materialize(members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "labelled")
     open_ = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
     parts = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = labelled.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp")
-    rows = dealt.join(sets.select("rep", "fine"), "rep")
+    rows = dealt.join(sets.select("rep", "fine", "bands"), "rep")
 
     def compare(pdf):
         import pandas as pd
@@ -240,6 +243,8 @@ def within_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
         pdf = pdf.sort_values("rep")
         rep, comp, part = (pdf[c].to_numpy() for c in ("rep", "comp", "part"))
         fine = np.frombuffer(b"".join(pdf["fine"]), np.uint8).reshape(-1, FINE)
+        bands = np.frombuffer(b"".join(pdf["bands"]), np.int64).reshape(-1, BANDS)
+        band = int(np.argmax(bands[0] == pdf["key"].iat[0]))
         across = pdf["i"].iat[0] != pdf["j"].iat[0]
         out_a, out_b = [], []
         for k in range(len(rep) - 1):
@@ -247,6 +252,7 @@ def within_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
             if across:
                 ok &= part[k + 1 :] != part[k]
             rest = np.flatnonzero(ok) + k + 1
+            rest = rest[(bands[rest, : band + 1] == bands[k, : band + 1]).argmax(axis=1) == band]
             rest = rest[(fine[rest, :128] == fine[k, :128]).sum(axis=1) >= 64]
             rest = rest[(fine[rest] == fine[k]).sum(axis=1) >= LEAST]
             out_a.append(np.full(len(rest), rep[k]))
