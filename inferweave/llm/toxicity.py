@@ -20,7 +20,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferweave.llm.common import materialize, rows_of, ship_package, table
@@ -265,8 +265,8 @@ class Toxicity:
     def __init__(self, model: np.ndarray, lexicon: dict[str, float], weights: np.ndarray):
         self.model, self.lexicon, self.weights = model, lexicon, weights
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """doc_id and score (0 to 1) for docs (doc_id, text)."""
+    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
+        """The columns keep of docs (with text) and score (0 to 1)."""
         ship_package(docs.sparkSession)
         parts = docs.sparkSession.sparkContext.broadcast((self.model, self.lexicon, self.weights))  # A^3 numbers, a bounded lexicon
 
@@ -279,13 +279,13 @@ class Toxicity:
                 (texts,) = next(rows_of([batch], "text"))
                 x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
                 score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -30, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array(score, pa.float64())], names=["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(score, pa.float64())], names=[*keep, "score"])
 
-        kind = docs.schema["doc_id"].dataType.simpleString()
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
+        return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, ", ".join([*fields, "score double"]))
 
 
-def held_out_rows(doc_id) -> "F.Column":
+def held_out_rows(doc_id: Column) -> Column:
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
 
 
@@ -328,7 +328,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no evidence and get the score of such texts. A null id is not held out. Repeated rows
     are scored alike; an empty table gives an empty table.
     """
-    out = fit(docs, labels).score(docs)
+    out = fit(docs, labels).score(docs, ["doc_id"])
     held = F.coalesce(held_out_rows(F.col("doc_id")), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
