@@ -30,14 +30,18 @@ def proofs(requests: DataFrame, graph: Graph, registry: Registry, config: Config
     req_id, source, node, predicate (effective, '' if the path amounts to nothing), conf, hops, ids, steps, rule_class.
     """
     g = graph.quarantined(config.exclude_deduced)
-    asked = requests.select("req_id", F.col("source").alias("start"))
-    found = simple_paths(asked, g.edges, config.max_hops, config.decay, config.min_conf, config.directed)
+    # paths depend on the source alone: requests that share one share its paths
+    starts = requests.select(F.col("source").alias("req_id"), F.col("source").alias("start")).distinct()
+    found = simple_paths(starts, g.edges, config.max_hops, config.decay, config.min_conf, config.directed).withColumnRenamed("req_id", "source")
     found = found.withColumn("predicate", F.coalesce(registry.effective_column(F.col("preds")), F.lit("")))
     wanted = [c for c in ("target", "predicate", "include_inverse") if c in requests.columns]
     asked = requests.select("req_id", "source", *[F.col(c).alias(f"want_{c}") for c in wanted])
-    out = found.join(asked, "req_id")
     if "target" in wanted:
-        out = out.where(F.col("want_target").isNull() | (norm_key(F.col("want_target")) == norm_key(F.col("node"))))
+        at = found.withColumn("_key", norm_key(F.col("node")))
+        some = asked.where("want_target IS NOT NULL").withColumn("_key", norm_key(F.col("want_target"))).join(at, ["source", "_key"])
+        out = some.unionByName(asked.where("want_target IS NULL").withColumn("_key", F.lit("")).join(found, "source"))
+    else:
+        out = asked.join(found, "source")
     if "predicate" in wanted:
         closure = registry.closure_table(requests.sparkSession)
         inverse = registry.canonical_column(F.col("want_predicate"))
@@ -76,10 +80,12 @@ def contradicts_predicate(claims: DataFrame, graph: Graph, registry: Registry, c
     edges = graph.quarantined(config.exclude_deduced).edges.select(norm_key(F.col("src_id")).alias("s"), F.col("pred").alias("conflict"), F.col("dst_id").alias("found"))
     asked = claims.select("claim_id", norm_key(F.col("subject")).alias("s"), registry.canonical_column(F.col("predicate")).alias("pred"), F.lower("object").alias("o"))
     asked = asked.join(F.broadcast(registry.disjoint_table(spark)), "pred")  # the registry's pairs
-    hit = asked.join(edges, ["s", "conflict"])
-    base = base_name(F.col("o"))
-    low = F.lower("found")
-    hit = hit.where((low == F.col("o")) | (low == base) | low.startswith(F.concat(base, F.lit(" "))))
+    # an object matches in full, or if the claim's base name is its beginning up to a space: both are equalities of keys
+    words = F.split(F.lower("found"), " ")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_join(F.slice(words, 1, i), " "))
+    edges = edges.select("s", "conflict", "found", F.explode(F.array_distinct(prefixes)).alias("key"))
+    asked = asked.withColumn("base", base_name(F.col("o"))).withColumn("key", F.explode(F.array_distinct(F.array("o", "base"))))
+    hit = asked.join(edges, ["s", "conflict", "key"]).where((F.col("key") == F.col("base")) | (F.lower("found") == F.col("o")))
     return hit.groupBy("claim_id").agg(F.min(F.struct("conflict", "found")).alias("w")).select("claim_id", F.col("w.conflict").alias("witness_predicate"), F.col("w.found").alias("witness_object"))
 
 

@@ -55,9 +55,9 @@ def derive_two_hop(spark, sf_dir):
 
 @query
 def derive_bounded_paths(spark, sf_dir):
-    """Simple undirected paths of up to three hops from some customers over places, by what they amount to."""
-    g = kg.demo_graph(spark, sf_dir, PLACES)
-    starts = read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("req_id"), F.concat(F.lit("customer:"), "c_custkey").alias("start"))
+    """Simple undirected paths of up to three hops from every supplier over places, by what they amount to."""
+    g = kg.demo_graph(spark, sf_dir, ("supplier_nation", "nation_region"))
+    starts = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("req_id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("start"))
     found = P.simple_paths(starts, g.edges, 3)
     eff = F.coalesce(kg.demo_registry().effective_column(F.col("preds")), F.lit(""))
     return found.groupBy("req_id", "hops", eff.alias("predicate")).agg(F.count("*").alias("n"), F.round(F.sum(F.round("conf", 6)), 4).alias("total"))
@@ -83,7 +83,7 @@ def location_claims(spark, sf_dir):
 
 
 def supply_claims(spark, sf_dir):
-    li = read(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select("l_suppkey", "l_partkey").distinct()
+    li = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     return li.select(F.concat_ws(":", F.lit("s"), "l_suppkey", "l_partkey").alias("claim_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("subject"), F.lit("supplies").alias("predicate"), F.concat(F.lit("part:"), "l_partkey").alias("object"))
 
 
@@ -120,9 +120,9 @@ def contradicts_predicate(spark, sf_dir):
 
 @query
 def topk_proofs(spark, sf_dir):
-    """The three best proofs that some suppliers supply a type."""
+    """The three best proofs that each supplier supplies a type."""
     g = kg.demo_graph(spark, sf_dir, ("supplier_part", "part_type"))
-    asked = read(spark, sf_dir, "supplier").where("s_suppkey < 20").select(F.col("s_suppkey").alias("req_id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("source"), F.lit("supplies").alias("predicate"), F.lit("type:PROMO").alias("target"))
+    asked = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("req_id"), F.concat(F.lit("supplier:"), "s_suppkey").alias("source"), F.lit("supplies").alias("predicate"), F.lit("type:PROMO").alias("target"))
     found = E.derive(asked, g, kg.demo_registry(), E.Config(max_hops=2, limit=3, directed=True))
     return found.select("req_id", "rank", "hops", "predicate", r6(F.col("conf"), "conf"), F.array_join("ids", ",").alias("ids"))
 
@@ -233,8 +233,11 @@ def shared_neighbours_head(spark, sf_dir):
 
 @query
 def shared_neighbours_tail(spark, sf_dir):
-    g = kg.demo_graph(spark, sf_dir, ("customer_segment",))
-    return M.shared_neighbours(g.edges, "tail").groupBy("seed").agg(F.count("*").alias("partners"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"))
+    """Types that suppliers have in common, by way of the parts that they supply."""
+    e = kg.demo_graph(spark, sf_dir, ("supplier_part", "part_type")).edges
+    a, b = e.where("pred = 'supplies'").alias("a"), e.where("pred = 'is_a'").alias("b")
+    supplied = a.join(b, F.col("a.dst_id") == F.col("b.src_id")).select("a.src_id", "a.pred", "b.dst_id").distinct()
+    return M.shared_neighbours(supplied, "tail").groupBy("seed").agg(F.count("*").alias("partners"), F.coalesce(F.sum("shared"), F.lit(0)).alias("shared"))
 
 
 @query
@@ -509,10 +512,10 @@ def extract_triples(spark, sf_dir):
     """Edges from extraction results that are made of conversations."""
     from inferweave.sources.readers import extracted_edges
 
-    conv = read(spark, sf_dir, "conversations").where("turn = 0")
+    conv = read(spark, sf_dir, "conversations")
     word = F.split("text", " ")
     triple = F.struct(F.get(word, 0).alias("subject"), F.lit("mentions").alias("predicate"), F.get(word, 1).alias("object"), F.when(F.col("conv_id") % 2 == 0, "always").alias("condition"), F.lit("").alias("location"), F.lit(0.5).alias("confidence"))
-    results = conv.select(F.col("conv_id").cast("string").alias("doc"), F.to_json(F.struct(F.array(triple).alias("triples"))).alias("json"))
+    results = conv.select(F.concat_ws("/", "conv_id", "turn").alias("doc"), F.to_json(F.struct(F.array(triple).alias("triples"))).alias("json"))
     return extracted_edges(results).select("id", "subject", "predicate", "object", "status", F.array_join("conditions", ",").alias("conditions"))
 
 

@@ -62,7 +62,7 @@ d2 AS (SELECT s, 'served_by' AS p, 'hub 1' AS o, 0.8::DOUBLE * conf * pow(0.9::D
 
 EVENTS = "q AS (SELECT event_id, ts, user_id, 'user:' || user_id AS claim, CASE event_type WHEN 'error' THEN 'contradicted' WHEN 'click' THEN 'unsupported' ELSE 'entailed' END AS verdict, event_type, value AS latency FROM events)"
 LOCATED = "located AS (SELECT 'c' || c_custkey AS claim_id, c_custkey, n_regionkey = c_custkey % 5 AS ok FROM customer JOIN nation ON c_nationkey = n_nationkey)"
-SUPPLY_CLAIMS = "claims AS (SELECT DISTINCT 's:' || l_suppkey || ':' || l_partkey AS claim_id, 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS o FROM lineitem WHERE l_orderkey % 10 = 0)"
+SUPPLY_CLAIMS = "claims AS (SELECT DISTINCT 's:' || l_suppkey || ':' || l_partkey AS claim_id, 'supplier:' || l_suppkey AS s, 'part:' || l_partkey AS o FROM lineitem)"
 
 _general, _medical = general(), medical()
 # the facts of the packs, from which SQL derives what the registry derives
@@ -74,8 +74,8 @@ CLOSURE = f"sup(pred, super) AS (SELECT * FROM {DIRECT_SUPERS} v UNION SELECT s.
 
 ORACLES: dict[str, str] = {
     "derive_two_hop": f"WITH {graph(*PLACES, *TYPES, 'supplier_part')}, p AS (SELECT {FOLD} AS predicate, round(a.confidence * b.confidence * 0.9::DOUBLE, 6) AS c FROM e a JOIN e b ON a.dst_id = b.src_id WHERE a.src_id <> b.dst_id) SELECT predicate, count(*) AS n, round(sum(c), 3) AS total FROM p WHERE predicate IS NOT NULL GROUP BY predicate",
-    "derive_bounded_paths": f"""WITH RECURSIVE {graph(*PLACES)}, u AS (SELECT src_id, dst_id, pred, confidence FROM e UNION ALL SELECT dst_id, src_id, pred, confidence FROM e),
- p AS (SELECT c_custkey AS req_id, ['customer:' || c_custkey, u.dst_id] AS nodes, [u.pred] AS preds, u.confidence AS conf, 1 AS hops FROM customer JOIN u ON u.src_id = 'customer:' || c_custkey WHERE c_custkey % 50 = 0
+    "derive_bounded_paths": f"""WITH RECURSIVE {graph("supplier_nation", "nation_region")}, u AS (SELECT src_id, dst_id, pred, confidence FROM e UNION ALL SELECT dst_id, src_id, pred, confidence FROM e),
+ p AS (SELECT s_suppkey AS req_id, ['supplier:' || s_suppkey, u.dst_id] AS nodes, [u.pred] AS preds, u.confidence AS conf, 1 AS hops FROM supplier JOIN u ON u.src_id = 'supplier:' || s_suppkey
   UNION ALL SELECT req_id, list_append(nodes, u.dst_id), list_append(preds, u.pred), conf * u.confidence * 0.9::DOUBLE, hops + 1 FROM p JOIN u ON u.src_id = nodes[-1] WHERE hops < 3 AND NOT list_contains(nodes, u.dst_id)),
  f AS (SELECT *, CASE WHEN hops = 1 THEN preds[1] WHEN len(list_distinct(preds)) = 1 THEN preds[1]
    WHEN preds[1] = 'located_in' AND len(list_filter(preds[2:], lambda x: x <> 'part_of')) = 0 THEN 'located_in' ELSE '' END AS predicate FROM p)
@@ -92,7 +92,7 @@ ORACLES: dict[str, str] = {
     "contradicts_class": "SELECT 'p' || p_partkey AS claim_id, lower('type:' || p_type) AS class, 1 AS hops FROM part WHERE p_type IN ('PROMO', 'STANDARD')",
     "contradicts_predicate": f"WITH {graph(*SUPPLY)}, {SUPPLY_CLAIMS} SELECT claim_id, 'recalls' AS witness_predicate, min(dst_id) AS witness_object FROM claims JOIN e ON src_id = s AND pred = 'recalls' AND (dst_id = o OR starts_with(dst_id, o || ' ')) GROUP BY claim_id",
     "topk_proofs": f"""WITH {graph("supplier_part", "part_type")}, p AS (SELECT split_part(a.src_id, ':', 2)::BIGINT AS req_id, round(a.confidence * b.confidence * 0.9::DOUBLE, 6) AS conf, a.confidence * b.confidence * 0.9::DOUBLE AS x, [a.edge_id, b.edge_id] AS ids
- FROM e a JOIN e b ON a.dst_id = b.src_id WHERE a.pred = 'supplies' AND a.status = '' AND b.dst_id = 'type:PROMO' AND split_part(a.src_id, ':', 2)::BIGINT < 20)
+ FROM e a JOIN e b ON a.dst_id = b.src_id WHERE a.pred = 'supplies' AND a.status = '' AND b.dst_id = 'type:PROMO')
  SELECT req_id, (row_number() OVER (PARTITION BY req_id ORDER BY round(x, 9) DESC, ids))::INT AS rank, 2 AS hops, 'supplies' AS predicate, conf, array_to_string(ids, ',') AS ids FROM p QUALIFY rank <= 3""",
     "canonicalize_predicates": f"WITH {graph()} SELECT pred_raw, pred, count(*) AS n FROM e GROUP BY ALL",
     "effective_predicate": f"""WITH g AS (SELECT col0 AS p, col1 AS t FROM {GENERAL_PREDS} v), r AS (SELECT col0 AS a, col1 AS b, col2 AS c FROM {GENERAL_RULES} v)
@@ -111,7 +111,7 @@ ORACLES: dict[str, str] = {
     "degree_out": f"WITH {graph(*SUPPLY)} SELECT src_id AS name, count(*) AS degree FROM e GROUP BY 1 ORDER BY degree DESC, name LIMIT 20",
     "degree_in": f"WITH {graph(*SUPPLY)} SELECT dst_id AS name, count(*) AS degree FROM e GROUP BY 1 ORDER BY degree DESC, name LIMIT 20 OFFSET 5",
     "shared_neighbours_head": "WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), x AS (SELECT a.s AS seed, b.s AS partner, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s <> b.s GROUP BY ALL) SELECT 'supplier:' || seed AS seed, count(*) AS partners, sum(shared)::BIGINT AS shared, max(shared) AS most FROM x GROUP BY seed",
-    "shared_neighbours_tail": "SELECT '' AS seed, 0::BIGINT AS partners, 0::BIGINT AS shared WHERE false",
+    "shared_neighbours_tail": "WITH e AS (SELECT DISTINCT l_suppkey AS s, p_type AS t FROM lineitem JOIN part ON l_partkey = p_partkey), x AS (SELECT a.t AS seed, b.t AS partner, count(*) AS shared FROM e a JOIN e b ON a.s = b.s AND a.t <> b.t GROUP BY ALL) SELECT 'type:' || seed AS seed, count(*) AS partners, sum(shared)::BIGINT AS shared FROM x GROUP BY seed",
     "bridge_candidates": """WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem), x AS (SELECT 'supplier:' || a.s AS seed, 'supplier:' || b.s AS partner, count(*) AS shared FROM e a JOIN e b ON a.p = b.p AND a.s <> b.s GROUP BY ALL)
  SELECT seed, 'supplies' AS pred, partner, shared, 'shares_generalization_with:head:supplies' AS claim, round(least(1.0::DOUBLE, 0.4::DOUBLE + (shared - 2)::DOUBLE / (2 * shared)), 6) AS gain FROM x WHERE shared >= 5 QUALIFY row_number() OVER (PARTITION BY seed ORDER BY shared DESC, partner) = 1""",
     "missing_links": f"""WITH {graph(*PLACES, *TYPES)}, own AS (SELECT src_id AS seed, min(pred) AS predicate, count(DISTINCT dst_id) AS degree FROM e GROUP BY 1),
@@ -159,5 +159,5 @@ ORACLES: dict[str, str] = {
     "golden_validation": f"WITH {LOCATED}, g AS (SELECT CASE WHEN claim_id LIKE '%0' THEN 'entailed' ELSE 'non_entailed' END AS wanted, ok AS got FROM located) SELECT wanted, (wanted = 'entailed') = got AS ok, count(*) AS n FROM g GROUP BY ALL",
     "scope_scoring": f"WITH {EVENTS} SELECT 'scope:' || user_id % 10 AS scope, count(*) + 2 * count(CASE WHEN latency > 100 THEN 1 END) + count(CASE WHEN verdict = 'unsupported' THEN 1 END) AS score FROM q GROUP BY 1",
     "epistemic_upsert": "WITH l AS (SELECT l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey AS id, l_returnflag FROM lineitem), a AS (SELECT id FROM l WHERE l_returnflag = 'R') SELECT status, count(*) AS n FROM (SELECT 'axiom' AS status FROM a UNION ALL SELECT 'observation' FROM l WHERE id NOT IN (SELECT id FROM a)) GROUP BY status",
-    "extract_triples": "WITH c AS (SELECT conv_id, string_split(text, ' ') AS w FROM conversations WHERE turn = 0) SELECT 'triple:' || conv_id || ':0' AS id, w[1] AS subject, 'mentions' AS predicate, w[2] AS object, 'observation' AS status, CASE WHEN conv_id % 2 = 0 THEN 'always' ELSE '' END AS conditions FROM c",
+    "extract_triples": "WITH c AS (SELECT conv_id, turn, string_split(text, ' ') AS w FROM conversations) SELECT 'triple:' || conv_id || '/' || turn || ':0' AS id, w[1] AS subject, 'mentions' AS predicate, w[2] AS object, 'observation' AS status, CASE WHEN conv_id % 2 = 0 THEN 'always' ELSE '' END AS conditions FROM c",
 }
