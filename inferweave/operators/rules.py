@@ -100,7 +100,7 @@ def match(facts: DataFrame, pattern: tuple, registry: Registry) -> DataFrame:
     if is_var(s) and s == o:
         out = out.where("s = o")
     names = {t: side for side, t in (("s", s), ("o", o)) if is_var(t)}
-    return out.groupBy(*[F.col(side).alias(t) for t, side in names.items()]).agg(F.max("conf").alias("c"), F.min("steps").alias("n"))
+    return out.groupBy(*[F.col(side).alias(t) for t, side in names.items()]).agg(F.max("conf").alias("c"), F.min("steps").alias("n")).where("c IS NOT NULL")  # without variables there is a row even for no facts
 
 
 def rule_bindings(rule: Rule, facts: DataFrame, registry: Registry, bound: frozenset[str] = frozenset()) -> DataFrame | None:
