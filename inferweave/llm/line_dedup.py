@@ -3,12 +3,12 @@
 Lines are compared as sequences of words. A line is dropped if an earlier one (by doc_id, then position) has the same
 words, or, for lines of MIN_WORDS words or more, if an earlier one is within one word insertion, deletion or
 substitution. Every line that may have such a neighbour emits its deletion variants as hashed keys: with the deleted
-position (two lines that share such a key differ by one substitution) and without it (a line's variant equals the
-whole of a line that lacks the word). Per key only the earliest line is kept to compare with, so that a key which many
+position, to meet lines of the same length that have another word there, and as a shorter line, to meet the whole of
+a line that lacks the word. Per key only the earliest line is kept to compare with, so that a key which many
 lines share gives one pair per line; each pair is verified by its common prefix and suffix.
 
 Which lines may have a neighbour is decided exactly and cheaply beforehand: two lines within one edit share their
-first or their last half, so lines whose halves occur once emit nothing more.
+first or their last half, so lines whose halves occur once emit nothing more, and others only the keys that can meet a line.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ MIN_WORDS = 8
 BLANK = "^[\\x20\\x09-\\x0D]*$"
 #: Up to so many rows are broadcast to filter the documents; above, they are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Texts of at most so many lines are put together by looking up each line.
+FEW = 500
 
 
 def words_of(line: Column) -> Column:
@@ -30,7 +32,7 @@ def words_of(line: Column) -> Column:
 
 
 def half_keys(words: Column, w: Column) -> Column:
-    """Hashes of the first and last half of the line as it is, and as a line with one word too many."""
+    """Hashes of the first and last half of the line as it is (longer 0), and as a line with one word too many (longer 1)."""
     keys = []
     for n in (w, w - 1):
         h = F.floor(n / 2).cast("int")
@@ -38,15 +40,32 @@ def half_keys(words: Column, w: Column) -> Column:
     return F.array(*keys)
 
 
-def variants(words: Column, w: Column) -> Column:
-    """Keys of a line: role 0 the whole, 1 a word deleted, 2 a word deleted whose position counts."""
-    key = lambda k, role: F.struct(k.alias("key"), F.lit(role).alias("role"))
-    before, after = lambda i: F.slice(words, 1, i), lambda i: F.slice(words, i + 2, F.greatest(w - i - 1, F.lit(0)))
-    places = F.sequence(F.lit(0), w - 1)
-    whole = F.array(key(F.xxhash64(F.lit("d"), w, words), 0))
-    deleted = F.array_distinct(F.transform(places, lambda i: key(F.xxhash64(F.lit("d"), w - 1, F.concat(before(i), after(i))), 1)))
-    placed = F.transform(places, lambda i: key(F.xxhash64(F.lit("r"), w, i, before(i), after(i)), 2))
-    return F.concat(whole, deleted, placed)
+def chain(hashes: Column) -> Column:
+    """Hashes of the first 0, 1, 2 and so on of hashes."""
+    return F.aggregate(hashes, F.array(F.lit(0).cast("bigint")), lambda done, x: F.concat(done, F.array(F.xxhash64(F.element_at(done, -1), x))))
+
+
+def variants(words: Column, w: Column, whole: Column, longer: Column, same: Column) -> Column:
+    """Keys of a line: role 0 the whole, split at any place; 1 a word deleted; 2 a word deleted from a line of this length.
+
+    A key is made of the length that is left, the place, and the hashes of what stands before and after it. whole,
+    longer and same say which roles can meet another line.
+    """
+    hashes = F.transform(words, lambda x: F.xxhash64(x))
+
+    def all_keys(parts: Column) -> Column:
+        before, after = lambda i: F.get(parts["before"], i), lambda i: F.get(parts["after"], i)
+        places = F.sequence(F.lit(0), w - 1)
+        key = lambda k, role: F.struct(k.alias("key"), F.lit(role).alias("role"))
+        none = F.array().cast("array<struct<key:bigint,role:int>>")
+        return F.concat(
+            F.when(whole, F.transform(F.sequence(F.lit(0), w), lambda i: key(F.xxhash64(F.lit("d"), w, i, before(i), after(w - i)), 0))).otherwise(none),
+            F.when(longer, F.transform(places, lambda i: key(F.xxhash64(F.lit("d"), w - 1, i, before(i), after(w - i - 1)), 1))).otherwise(none),
+            F.when(same, F.transform(places, lambda i: key(F.xxhash64(F.lit("r"), w, i, before(i), after(w - i - 1)), 2))).otherwise(none),
+        )
+
+    parts = F.struct(chain(hashes).alias("before"), chain(F.reverse(hashes)).alias("after"))
+    return F.element_at(F.transform(F.array(parts), all_keys), 1)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -65,10 +84,17 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     distinct = lines.groupBy("h1", "h2", "w").agg(F.min(F.struct("doc_key", "pos", "rid")).alias("first"), F.any_value("halves").alias("halves"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("line_id"), "w", "first", "halves"), "lines")
 
-    halves = distinct.where(F.col("halves").isNotNull()).select("line_id", F.explode("halves").alias("key"))
-    shared = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    maybe = halves.join(shared, "key", "left_semi").select("line_id").distinct()
-    maybe = materialize(distinct.drop("halves").join(maybe, "line_id"), "maybe")
+    halves = distinct.where(F.col("halves").isNotNull()).select("line_id", F.posexplode("halves").alias("i", "key")).select("line_id", "key", (F.col("i") >= 2).alias("longer"))
+    # in a bucket stand lines of one length and lines that are one word longer
+    met = halves.groupBy("key").agg(F.count_if(~F.col("longer")).alias("n0"), F.count_if("longer").alias("n1")).where("n0 > 1 OR n0 > 0 AND n1 > 0")
+    roles = (
+        halves.join(met, "key")
+        .where("NOT longer OR n0 > 0")
+        .groupBy("line_id")
+        .agg(F.max(~F.col("longer") & (F.col("n1") > 0)).alias("whole"), F.max("longer").alias("longer"), F.max(~F.col("longer") & (F.col("n0") > 1)).alias("same"))
+        .where("whole OR longer OR same")
+    )
+    maybe = materialize(distinct.drop("halves").join(roles, "line_id"), "maybe")
     near = near_lines(rows, maybe)
 
     firsts = distinct.select("line_id", "first.*").join(near, "line_id", "left_anti")
@@ -81,15 +107,15 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def near_lines(rows: DataFrame, maybe: DataFrame) -> DataFrame:
-    """line_id of the lines in maybe (line_id, w, first) that have an earlier line within one edit."""
-    wanted = maybe.select("line_id", "first.*").groupBy("doc_key", "rid").agg(F.collect_list(F.struct("pos", "line_id")).alias("wanted"))
+    """line_id of the lines in maybe (line_id, first, and the roles they can have) that have an earlier line within one edit."""
+    wanted = maybe.select("line_id", "first.*", "whole", "longer", "same").groupBy("doc_key", "rid").agg(F.collect_list(F.struct("pos", "line_id", "whole", "longer", "same")).alias("wanted"))
     wanted = F.broadcast(wanted) if maybe.count() <= BROADCAST_ROWS else wanted
     found = rows.select("doc_key", "rid", "text").join(wanted, ["doc_key", "rid"]).withColumn("lines", F.split("text", "\n"))
-    found = found.select("doc_key", F.explode("wanted").alias("x"), "lines").select("doc_key", "x.*", words_of(F.element_at("lines", F.col("x.pos") + 1)).alias("words"))
-    found = materialize(found.dropDuplicates(["line_id"]).withColumn("w", F.size("words")), "words")
+    found = found.select("doc_key", F.explode("wanted").alias("x"), "lines").select("doc_key", "x.*", F.get("lines", F.col("x.pos")).alias("line"))
+    found = materialize(found.dropDuplicates(["line_id"]).withColumn("words", words_of(F.col("line"))).drop("line").withColumn("w", F.size("words")), "words")
 
     me = F.struct("doc_key", "pos", "line_id")
-    keys = found.select(me.alias("me"), F.explode(variants(F.col("words"), F.col("w"))).alias("v")).select("me", "v.*")
+    keys = found.select(me.alias("me"), F.explode(variants(*map(F.col, ("words", "w", "whole", "longer", "same")))).alias("v")).select("me", "v.*")
     earliest = (
         keys.groupBy("key")
         .agg(F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"e{r}") for r in (0, 1, 2)])
@@ -117,12 +143,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         docs = docs.drop(*clash)
     keep = kept_lines(docs.select("doc_id", "text"))
     rows = keyed(docs).join(keep, ["doc_key", "rid"], "left").withColumn("keep", F.coalesce("keep", F.array().cast("array<int>")))
-    lines = F.split("text", "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.element_at(lines, i + 1).rlike(BLANK))
-    stay = F.transform(F.array_sort(F.concat("keep", blank)), lambda i: F.element_at(F.col("_lines"), i + 1))
-    out = rows.withColumn("_lines", lines).withColumn("n_lines", F.coalesce(F.size("_lines") - F.size(blank), F.lit(0)).cast("bigint")).withColumn("n_kept", F.size("keep").cast("bigint"))
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.array_join(stay, "\n")))
-    return out.withColumn("n_lines", F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("bigint")).select(*docs.columns, "n_lines", "n_kept")
+
+    def rebuilt(lines: Column) -> Column:
+        blank = lambda x: x.rlike(BLANK)
+        few = F.array_join(F.transform(lines, lambda x, i: F.when(blank(x) | F.array_contains("keep", i), x)), "\n")
+        # with many lines, looking each up among the kept ones would take the square of their number
+        blanks = F.filter(F.transform(lines, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())
+        many = F.array_join(F.transform(F.array_sort(F.concat("keep", blanks)), lambda i: F.get(lines, i)), "\n")
+        counted = F.size(F.filter(lines, lambda x: ~blank(x))).cast("bigint")
+        return F.struct(F.when(F.size(lines) <= FEW, few).otherwise(many).alias("text"), counted.alias("n_lines"))
+
+    made = F.when(F.col("text").isNotNull(), F.element_at(F.transform(F.array(F.split("text", "\n")), rebuilt), 1))
+    out = rows.withColumn("_made", made).withColumn("text", F.col("_made.text"))
+    return out.select(*docs.columns, F.coalesce("_made.n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.size("keep").cast("bigint").alias("n_kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
