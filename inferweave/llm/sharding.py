@@ -73,9 +73,11 @@ def shuffle_into_shards(rows: DataFrame, key_cols: list[str], shards: int = 16,
     """Adds shard (int) and slot (long, from 0 without gaps in each shard) to rows.
 
     key_cols identify a row; rows that agree in them are interchangeable. Nulls are keys like any other. An empty
-    table stays empty. rows is read twice and should be narrow or materialized. Reruns agree.
+    table stays empty. rows is read twice and should be narrow or materialized. Columns of rows with names that are
+    used here (shard, slot, and those that begin with an underscore) are dropped. Reruns agree.
     """
     spark = rows.sparkSession
+    rows = rows.select(*[c for c in rows.columns if c not in ("shard", "slot") and not c.startswith("_")])
     keys = [F.col(c) for c in key_cols]
     hashed = rows.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
     total = rows.count()

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inferweave.llm.common import materialize, rows_of, ship_package, table
 
@@ -265,8 +266,9 @@ class Toxicity:
     def __init__(self, model: np.ndarray, lexicon: dict[str, float], weights: np.ndarray):
         self.model, self.lexicon, self.weights = model, lexicon, weights
 
-    def score(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """The columns keep of docs (with text) and score (0 to 1)."""
+    def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+        """The columns keep of docs (with text) and the score (0 to 1) under name; of a clash, the score stays."""
+        keep = [c for c in keep if c != name]
         ship_package(docs.sparkSession)
         parts = docs.sparkSession.sparkContext.broadcast((self.model, self.lexicon, self.weights))  # A^3 numbers, a bounded lexicon
 
@@ -279,10 +281,10 @@ class Toxicity:
                 (texts,) = next(rows_of([batch], "text"))
                 x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
                 score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(score, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(score, pa.float64())], names=[*keep, name])
 
-        fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-        return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, ", ".join([*fields, "score double"]))
+        schema = StructType([*docs.select(*keep).schema.fields, StructField(name, DoubleType())])
+        return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
 
 def held_out_rows(doc_id: Column) -> Column:
