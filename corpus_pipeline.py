@@ -17,32 +17,48 @@ from inferweave.llm.sentencepiece_bpe import encode_documents, public_model
 from inferweave.llm.toxicity import fit
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns own and _rest, which holds the others, whatever their names."""
+    rest = [F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in docs.columns if c not in own]]
+    return docs.select(*own, F.struct(*rest).alias("_rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, *own: str) -> DataFrame:
+    """The columns of docs again."""
+    return rows.select(*[F.col(c) if c in own else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of less than 0.5. The scorer is fitted on the documents at hand that have labels."""
-    scorer = fit(docs, table(spark, sf_dir, "labels"))
-    return scorer.score(docs, docs.columns).where("score < 0.5").select(*docs.columns)
+    """Documents with a toxicity of less than 0.5. The scorer is fitted on the documents at hand that have labels.
+
+    Null and empty texts stay. An empty table gives an empty table; so in all stages.
+    """
+    scorer = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    scored = scorer.score(packed(docs, "doc_id", "text"), ["doc_id", "text", "_rest"])
+    return unpacked(scored.where("score < 0.5"), docs, "doc_id", "text")
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each line at its earliest place only. One that had lines and has none left goes: earlier ones have all of it."""
-    out = dedup_lines(docs).where("n_lines = 0 OR n_kept > 0")
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    out = dedup_lines(packed(docs, "doc_id", "text")).where("n_lines = 0 OR n_kept > 0")
+    out = unpacked(out, docs, "doc_id", "text")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component. Which go is written before the texts are filtered."""
     gone = materialize(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many rows of each document as the mix takes copies: 0 to 2. Rows that agree in id, source and size share their number."""
-    sized = docs.withColumn("_size", word_count(F.col("text")))
+    sized = packed(docs, "doc_id", "text", "source").withColumn("_size", word_count(F.col("text")))
     mixed = entropy_balance(sized.select("doc_id", "source", F.col("_size").alias("size")))
-    copies = mixed.groupBy("doc_id", F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    copies = materialize(copies.withColumnRenamed("doc_id", "_id"), "copies")
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_n"))
-    return sized.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(*docs.columns)
+    rows = sized.join(materialize(copies, "copies"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies")))
+    return unpacked(rows, docs, "doc_id", "text", "source")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
