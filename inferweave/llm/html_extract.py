@@ -4,7 +4,7 @@ The DOMs of one host are merged into a style tree: an element node (a place in t
 sequences of children) that pages have there, and leaves hold the texts that pages have there. The entropy of the
 styles over the pages of a node is its presentation importance; a text that n of a leaf's m pages share has the content
 importance 1 - log n / log m. A branch's composite importance blends its presentation with the mean of what is below,
-and branches under KEEP are removed from each page.
+and branches that are under KEEP with all that is in them are removed from each page.
 
 Marks of meaning come before statistics: elements that can't be main text (navigation, footers, asides, forms,
 scripts, and anything whose class, id or role says advert, comment, notice and so on) are removed, and what an article
@@ -39,7 +39,7 @@ ENDS_P = BLOCK - frozenset("head title body html option optgroup caption tbody t
 #: What a start tag ends, up to the elements that bound the search.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th"), "option": ("option",)}
 BOUNDS = frozenset("ul ol dl table select html".split())
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 NAMED = re.compile(r"""\b(class|id|role|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[a-z0-9]+")
 
@@ -196,7 +196,8 @@ def low_branches(root: Node, known: dict[int, tuple[float, int]]) -> set[int]:
             own, styles = known.get(s.place, (1.0, 1))
             share = GAMMA**styles
             out = (1 - share) * own + share * sum(below) / len(below)
-        if out < KEEP:
+        # a branch goes if nothing in it is important
+        if out < KEEP and all(id(k.node) in low for k in s.kids):
             low.add(id(s.node))
         return out
 
