@@ -201,3 +201,91 @@ def test_extraction(spark):
     rows = inline(spark, [{"doc": "d", "json": text}], "doc string, json string")
     edge, rule = readers.extracted_edges(rows).first(), readers.extracted_rules(rows).first()
     assert (edge.status, edge.conditions, rule.head, rule.frequency) == ("observation", ["if x"], "y", 1)
+
+
+def test_native_mode(spark):
+    g = graph(spark, [("a", "is_a", "b"), ("b", "is_a", "c"), ("a", "treats", "c")], medical())
+    claims = inline(spark, [{"claim_id": "1", "subject": "a", "predicate": "is_a", "object": "c"}, {"claim_id": "2", "subject": "a", "predicate": "causes", "object": "c"}], "claim_id string, subject string, predicate string, object string")
+    got = {r.claim_id: (r.verdict, round(r.confidence, 6)) for r in E.answer(claims, g, medical(), "native").collect()}
+    assert got == {"1": ("entailed", round(0.8**2 * 0.9, 6)), "2": ("unsupported", 0.0)}
+    with pytest.raises(ValueError):
+        E.answer(claims, g, medical(), "other")
+
+
+def test_questions(spark):
+    from inferweave.operators import cognition as C
+
+    missing = inline(spark, [{"seed": "a", "predicate": "treats", "far": "b", "gain": 1.7}, {"seed": "A", "predicate": "Treats", "far": "b ", "gain": 0.5}, {"seed": "x", "predicate": "treats", "far": "X", "gain": 0.5}], "seed string, predicate string, far string, gain double")
+    none = inline(spark, [], "seed string, claim string, partner string, gain double")
+    asked = C.thoughts(missing, none, inline(spark, [], "subject string, predicate string, object string")).withColumn("at", F.monotonically_increasing_id())
+    kept = C.bounded_store(C.plausible_claims(asked, medical()), "at").collect()
+    assert [(r.subject, r.gain) for r in kept] == [("a", 1.0)]
+    assert "subject" not in C.exported(asked).columns
+    assert sorted(C.pick_order({"a": 1, "b": 0, "c": 2}, 3)) == ["a", "b", "c"] and C.pick_order({"a": 1, "b": 5}, 3) == C.pick_order({"b": 5, "a": 1}, 3)
+
+
+def test_engine(spark):
+    from inferweave.plans.engine import Engine, Generation
+
+    engine = Engine(spark, medical())
+    rows = [("flu", "is_a", "infection"), ("infection", "has_symptom", "fever")]
+    rule = U.Rule("r", ("?x", "treats", "fever", False), [("?x", "related_to", "pill", False)], [], 0.8)
+    with pytest.raises(ValueError):
+        engine.entails([("a", "b", "c")])
+    golden = inline(spark, [{"subject": "flu", "predicate": "has_symptom", "object": "fever", "wanted": "entailed"}, {"subject": "flu", "predicate": "treats", "object": "fever", "wanted": "not-entailed"}], "subject string, predicate string, object string, wanted string")
+    engine.swap(Generation("1", graph(spark, rows, medical()), [rule]), golden)
+    with pytest.raises(ValueError):
+        engine.swap(Generation("2", graph(spark, rows[:1], medical())), golden)
+    assert engine.health()["generation"] == "1"
+    ask = [("flu", "has_symptom", "fever"), ("tea", "treats", "fever")]
+    assert [r.verdict for r in engine.entails(ask).orderBy("claim_id").collect()] == ["entailed", "unsupported"]
+    helped = engine.entails(ask, [("tea", "related_to", "pill")]).orderBy("claim_id").collect()
+    assert (helped[1].verdict, helped[1].by) == ("entailed", "rule:r") and math.isclose(helped[1].confidence, 0.8 * 0.9**2)
+    engine.entails(ask)
+    assert engine.cache.hits == 1
+    assert [r.rule_id for r in engine.fire_rules([("tea", "related_to", "pill")]).collect()] == ["r"]
+    engine.swap(Generation("3", graph(spark, rows[:1], medical())))
+    engine.rollback()
+    assert engine.health()["generation"] == "1"
+
+
+def test_emission(spark):
+    rel = inline(spark, [{"id": "1", "source_id": "a", "source_name": "A", "predicate": "p", "target_id": "b", "target_name": "B", "sources": ["x"], "confidence": 0.5, "support": 2, "lifted": True}], "id string, source_id string, source_name string, predicate string, target_id string, target_name string, sources array<string>, confidence double, support long, lifted boolean")
+    assert sinks.emit_relations(rel, "g").first().fact == "A p B"
+    nodes = inline(spark, [{"id": "1", "name": "n", "kind": "scope", "depth": 0, "support": 1}, {"id": "2", "name": "m", "kind": "scope", "depth": 0, "support": 1}], "id string, name string, kind string, depth int, support long")
+    assert [r.id for r in sinks.emit_nodes(nodes, nodes.where("id = '1'"), "g").collect()] == ["2"]
+    backup = sinks.dropped_backup(inline(spark, [{"id": "e", "sources": ["x"]}], "id string, sources array<string>"), "s", "batch").first()
+    assert backup.sources == ["x", "dropped_by:build-generalization:s"] and backup.id.startswith("gg-")
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "golden.json").write_text('{"cases":[{"claim":{"subject":"a","predicate":"p","object":"b"},"want_verdict_class":"entailed"},{"claim":{"subject":"a","predicate":"p","object":"c"},"verdict":"negative"}]}')
+    assert [r.wanted for r in readers.read_golden(spark, f"file://{tmp_path}/golden.json").collect()] == ["entailed", "negative"]
+    (tmp_path / "scope.txt").write_text("a, b # note\n# none\nb\nc\n")
+    assert sorted(r.name for r in readers.read_scope(spark, f"file://{tmp_path}/scope.txt").collect()) == ["a", "b", "c"]
+    (tmp_path / "rules.jsonl").write_text('{"id":"r","confidence":0.5,"conditions":[{"subject":{"entity":"x"},"predicate":"p","object":{"entity":"y"}}],"consequent":{"subject":{"entity":"x"},"predicate":"q","object":{"entity":"y"}}}\n')
+    found = readers.read_rules_jsonl(spark, f"file://{tmp_path}/rules.jsonl")
+    assert found.first().confidence == 0.5 and sinks.condition_facts(found).first().edge_id == "rel:r:0"
+    assert readers.decode_rules(sinks.rule_nodes(found, "g")).first().state == "loaded"
+    topics = tmp_path / "topics"
+    topics.mkdir()
+    (topics / "Heart.g_g.db").write_text("")
+    assert list(readers.discover_topics(str(topics))) == ["heart"]
+    (topics / "heart.lbug").write_text("")
+    with pytest.raises(ValueError):
+        readers.discover_topics(str(topics))
+
+
+def test_streams(spark, tmp_path):
+    from inferweave.streaming import telemetry as T
+
+    rows = spark.sql("SELECT id, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id AS int)) AS ts, id % 3 AS k FROM range(500)")
+    rows.write.parquet(f"file://{tmp_path}/in")
+    src = lambda: T.event_stream(spark, f"file://{tmp_path}/in", rows.schema)
+    got = T.run_to_end(T.rate_stream(src(), "ts", "1 hour", "0 seconds"), f"file://{tmp_path}/rates", f"file://{tmp_path}/c1")
+    assert [r.n for r in got.orderBy("window_start").collect()] == [60] * 8  # the last hour is still open
+    got = T.run_to_end(T.distinct_questions(src(), ["k"], late="100 days"), f"file://{tmp_path}/q", f"file://{tmp_path}/c2")
+    assert got.count() == 3
+    seen = []
+    T.on_batches(src(), lambda batch, n: seen.append(batch.count()), f"file://{tmp_path}/c3")
+    assert sum(seen) == 500
