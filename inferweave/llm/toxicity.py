@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inferweave.llm.common import materialize, rows_of, ship_package, table
 
-MAX_LABELLED = 200_000
+MAX_LABELLED = 20_000
 EVIDENCE = 24.0
 PREFIXES = (4, 5, 6)
 #: Hits of at least so much weight are also counted apart.
@@ -245,6 +245,18 @@ class Scorer(dict):
         return math.log1p(n), (sum(hits) / n if n else 0.0), max(hits, default=0.0), math.log1p(100.0 * n / max(1, len(tokens))), math.log1p(sum(w >= STRONG for w in hits))
 
 
+SCORERS: dict[bytes, Scorer] = {}
+
+
+def worker_scorer(model: np.ndarray, lexicon: dict[str, float], weights: np.ndarray) -> Scorer:
+    """The scorer of this Python worker; what it remembers serves all tasks that the worker runs with this model."""
+    key = weights.tobytes() + model.tobytes()[:4096] + str(len(lexicon)).encode()
+    if key not in SCORERS:
+        SCORERS.clear()
+        SCORERS[key] = Scorer(model, lexicon)
+    return SCORERS[key]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
     """Weights (the first of a constant) by Newton steps on the penalized likelihood."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -276,7 +288,7 @@ class Toxicity:
             import pyarrow as pa
 
             model, lexicon, weights = parts.value
-            scorer = Scorer(model, lexicon)
+            scorer = worker_scorer(model, lexicon, weights)
             for batch in batches:
                 (texts,) = next(rows_of([batch], "text"))
                 x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
@@ -302,7 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     n = known.count()
     if n > MAX_LABELLED:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
-    rows = materialize(docs.select("doc_id", "text").join(known, "doc_id"), "labelled")
+    # about MAX_LABELLED ids at most, so they are broadcast and the texts aren't shuffled
+    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")
     lexicon = learn_lexicon(rows, model)
     if not lexicon:
         return Toxicity(model, {}, np.array([-30.0] + [0.0] * SIGNS))
