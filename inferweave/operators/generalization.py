@@ -126,3 +126,26 @@ def statistics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     levels = nodes.where("kind = 'concept'").groupBy(F.concat(F.lit("level:"), F.col("depth").cast("string")).alias("measure")).agg(F.count("*").alias("n"))
     lifted = relations.groupBy(F.when(F.col("lifted"), "relations:lifted").otherwise("relations:direct").alias("measure")).agg(F.count("*").alias("n"))
     return kinds.unionByName(levels).unionByName(lifted)
+
+
+def explained_edges(facts: DataFrame, edges: DataFrame, lifted: DataFrame) -> DataFrame:
+    """Facts (child, pred, target, ...) that a lifted relation of one of the child's parents says as well; the others are what compression must keep."""
+    said = edges.select("child", "parent").join(lifted.select("parent", "pred", "target"), "parent").select("child", "pred", "target").distinct()
+    return facts.join(said, ["child", "pred", "target"], "left_semi")
+
+
+def lowered(lifted: DataFrame, edges: DataFrame) -> DataFrame:
+    """What lifted relations let expect of each child: child, pred, target, confidence (the best)."""
+    return lifted.join(edges.select("child", "parent"), "parent").groupBy("child", "pred", "target").agg(F.max("confidence").alias("confidence"))
+
+
+def coverage(scope: DataFrame, edges: DataFrame) -> DataFrame:
+    """covered, total, share: entities of the scope with a parent."""
+    has = edges.select(F.col("child").alias("id")).distinct().withColumn("has", F.lit(1))
+    return scope.join(has, "id", "left").agg(F.count("has").alias("covered"), F.count("*").alias("total"), F.try_divide(F.count("has"), F.count("*")).alias("share"))
+
+
+def statistic_changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """measure, n, change between two tables of statistics."""
+    old = before.select("measure", F.col("n").alias("was"))
+    return now.join(old, "measure", "full").select("measure", F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) - F.coalesce("was", F.lit(0))).alias("change"))

@@ -130,3 +130,14 @@ def route_topics(texts: DataFrame, topics: DataFrame, default: str | None = None
     best = score.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "topic")).alias("b"))
     fallback = F.lit(default) if default else F.lit(topics.agg(F.min("topic")).first()[0])
     return texts.select("id").join(best, "id", "left").select("id", F.coalesce("b.topic", fallback).alias("topic"), F.coalesce(-F.col("b.o"), F.lit(0)).alias("overlap"))
+
+
+def sample_entities(entities: DataFrame, n: int, seed: int) -> DataFrame:
+    """n entities in an order that the seed decides (a sample is the feature)."""
+    return entities.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+
+
+def embedding_width(entities: DataFrame, column: str = "name_embedding") -> int | None:
+    """The length of the first embedding that isn't empty."""
+    row = entities.where(F.size(column) > 0).select(F.size(column)).first()
+    return row[0] if row else None

@@ -174,3 +174,25 @@ def answer(claims: DataFrame, graph: Graph, registry: Registry, backend: str = "
     if backend not in BACKENDS:
         raise ValueError(f"unknown backend {backend}; there are {sorted(BACKENDS)}")
     return BACKENDS[backend](claims, graph, registry, config)
+
+
+def proof_json(proofs: DataFrame) -> DataFrame:
+    """Proofs with their steps as JSON."""
+    return proofs.withColumn("proof", F.to_json(F.struct("predicate", "conf", "hops", "rule_class", "steps")))
+
+
+def joined_contexts(paths: DataFrame) -> DataFrame:
+    """Paths whose hops carry conditions (contexts: array of arrays of strings): their union, and confidence 0 where one contradicts another (x and not x)."""
+    every = F.array_sort(F.array_distinct(F.flatten("contexts")))
+    against = F.exists(every, lambda c: F.array_contains(every, F.concat(F.lit("not "), c)))
+    return paths.withColumn("conditions", every).withColumn("conf", F.when(against, 0.0).otherwise(F.col("conf")))
+
+
+def supports_diagnosis(findings: DataFrame, graph: Graph, predicate: str, config: Config | None = None) -> DataFrame:
+    """case, disease, support (direct or by_subclass) for findings (case, finding): the finding has the predicate to the disease, or to one of its classes."""
+    config = config or Config()
+    g = graph.quarantined(config.exclude_deduced)
+    direct = findings.join(g.restricted(predicate).edges.select(F.col("src_id").alias("finding"), F.col("dst_id").alias("disease")), "finding").select("case", "disease", F.lit("direct").alias("support"))
+    below = transitive_closure(g.restricted("is_a").edges, config.max_hops).select(F.col("src_id").alias("lower"), F.col("dst_id").alias("disease"))
+    by_class = direct.select("case", F.col("disease").alias("lower")).join(below, "lower").select("case", "disease", F.lit("by_subclass").alias("support"))
+    return direct.unionByName(by_class).groupBy("case", "disease").agg(F.max_by("support", F.col("support") == "direct").alias("support"))

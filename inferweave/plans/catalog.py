@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inferweave.functions import registry as R
@@ -361,6 +361,29 @@ def dropped_edges(spark, sf_dir):
     return G.dropped_edges(every, relations).select("src_id", "pred", "dst_id")
 
 
+@query
+def explained_edges(spark, sf_dir):
+    """Preferences that a nation's lifted relation says as well, by segment."""
+    _, edges = scope_and_edges(spark, sf_dir)
+    facts = customer_facts(spark, sf_dir)
+    lifted = G.lifted_relations(facts, edges, G.selected_parents(edges), G.BuildConfig(min_support=12))
+    return G.explained_edges(facts, edges, lifted).groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query
+def scope_coverage(spark, sf_dir):
+    scope, edges = scope_and_edges(spark, sf_dir)
+    return G.coverage(scope, edges).select("covered", "total", r6(F.col("share"), "share"))
+
+
+@query
+def rank_fusion(spark, sf_dir):
+    """Suppliers by what they supply and by what they recall, fused."""
+    e = kg.demo_graph(spark, sf_dir, SUPPLY).edges
+    rank = lambda p: M.degrees(e.where(F.col("pred") == p)).select(F.col("name").alias("id"), F.row_number().over(Window.orderBy(F.desc("degree"), "name")).alias("rank"))  # noqa: E731  one row per supplier
+    return M.fused_ranks(rank("supplies"), rank("recalls")).select("id", r6(F.col("score"), "score"))
+
+
 # rules
 
 #: has a place in a region, unless the customer prefers machinery; and what follows from that

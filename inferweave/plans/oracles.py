@@ -139,6 +139,11 @@ ORACLES: dict[str, str] = {
     + "SELECT 'nodes:' || kind AS measure, count(*) AS n FROM nodes GROUP BY kind UNION ALL SELECT 'level:' || depth, count(*) FROM kept GROUP BY depth UNION ALL SELECT CASE WHEN lifted THEN 'relations:lifted' ELSE 'relations:direct' END, count(*) FROM rel GROUP BY lifted",
     "stable_relation_ids": GENERALIZED + "SELECT id, source_id, predicate, target_id, support, lifted FROM rel WHERE lifted OR predicate <> 'prefers'",
     "dropped_edges": f"WITH {graph('supplier_nation', 'nation_region')} SELECT src_id, pred, dst_id FROM e WHERE pred = 'located_in' OR src_id NOT IN (SELECT 'nation:' || c_nationkey FROM customer)",
+    "explained_edges": GENERALIZED
+    + """, big AS (SELECT parent, pred, target FROM b1 WHERE support >= 12 UNION SELECT t.parent, b1.pred, target FROM b1 JOIN tax t ON t.child = b1.parent GROUP BY ALL HAVING count(DISTINCT b1.parent) >= 12)
+ SELECT f.target, count(*) AS n FROM facts f WHERE EXISTS (SELECT 1 FROM tax t JOIN big b ON b.parent = t.parent AND b.pred = f.pred AND b.target = f.target WHERE t.child = f.child) GROUP BY f.target""",
+    "scope_coverage": "SELECT count(*) AS covered, count(*) AS total, 1.0::DOUBLE AS share FROM customer",
+    "rank_fusion": f"WITH {graph(*SUPPLY)}, d AS (SELECT src_id AS id, pred, row_number() OVER (PARTITION BY pred ORDER BY count(*) DESC, src_id) AS r FROM e GROUP BY src_id, pred) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM d GROUP BY id",
     "rule_bindings": RULES + "SELECT x, n, r, round(conf, 6) AS conf FROM vetoed",
     "rule_backward": RULES + "SELECT s, p, o, round(conf, 6) AS conf, steps, rule_id FROM d1 UNION ALL SELECT s, p, o, round(conf, 6), steps, rule_id FROM d2",
     "rule_forward_fire": RULES.replace("confidence AS c FROM e)", "confidence AS c FROM e UNION SELECT 'customer 1', 'prefers', 'segment building', 1.0)") + "SELECT rule_id, s, p, o, round(conf, 6) AS conf FROM d1 QUALIFY row_number() OVER (ORDER BY conf DESC, s DESC, o DESC) = 1",

@@ -42,3 +42,25 @@ def run_to_end(stream: DataFrame, folder: str, checkpoint: str, mode: str = "app
 def on_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Calls handle(batch, number) for all that is there, each batch once or, after a failure, again with its number."""
     stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def ewma_stream(events: DataFrame, key: str, ts: str = "ts", window_seconds: float = 10.0) -> DataFrame:
+    """key, at, ewma after each batch: the decayed rate q * exp(-dt / w) + 1 / w, kept per key over batches.
+
+    A key's state is two numbers. Events of a batch are taken in order of time; earlier ones than the last don't decay.
+    """
+    import math
+
+    def update(keys, batches, state):
+        import pandas as pd
+
+        rate, last = state.get if state.exists else (0.0, None)
+        times = sorted(t for pdf in batches for t in pdf["at"])
+        for t in times:
+            rate = (rate * math.exp(-max(0.0, t - last) / window_seconds) if last is not None else 0.0) + 1 / window_seconds
+            last = t if last is None else max(last, t)
+        state.update((rate, last))
+        yield pd.DataFrame({"key": [str(keys[0])], "at": [last], "ewma": [round(rate, 9)]})
+
+    seconds = (F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).alias("at")
+    return events.select(F.col(key).alias("key"), seconds).groupBy("key").applyInPandasWithState(update, "key string, at double, ewma double", "rate double, last double", "append", "NoTimeout")

@@ -289,3 +289,33 @@ def test_streams(spark, tmp_path):
     seen = []
     T.on_batches(src(), lambda batch, n: seen.append(batch.count()), f"file://{tmp_path}/c3")
     assert sum(seen) == 500
+
+
+def test_contexts_and_diagnoses(spark):
+    paths = inline(spark, [{"id": 1, "contexts": [["a"], ["b", "a"]], "conf": 0.5}, {"id": 2, "contexts": [["a"], ["not a"]], "conf": 0.5}], "id int, contexts array<array<string>>, conf double")
+    assert [(r.conditions, r.conf) for r in E.joined_contexts(paths).orderBy("id").collect()] == [(["a", "b"], 0.5), (["a", "not a"], 0.0)]
+    g = graph(spark, [("rash", "symptom_of", "measles"), ("measles", "is_a", "infection")], medical())
+    got = E.supports_diagnosis(inline(spark, [{"case": "1", "finding": "rash"}], "case string, finding string"), g, "symptom_of")
+    assert {(r.disease, r.support) for r in got.collect()} == {("measles", "direct"), ("infection", "by_subclass")}
+
+
+def test_decayed_rate_over_batches(spark, tmp_path):
+    from inferweave.streaming import telemetry as T
+
+    rows = spark.sql("SELECT 'k' AS k, timestamp_seconds(id * 5) AS ts FROM range(4)")
+    rows.coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = T.ewma_stream(T.event_stream(spark, f"file://{tmp_path}/in", rows.schema), "k")
+    got = T.run_to_end(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/state").first()
+    rate = 0.0
+    for i in range(4):
+        rate = (rate * math.exp(-0.5) if i else 0.0) + 0.1
+    assert got.at == 15 and math.isclose(got.ewma, rate, abs_tol=1e-8)
+
+
+def test_lowering_and_changes(spark):
+    scope, up, kept, f, lifted = builder(spark, [("A", "P"), ("B", "P"), ("C", "P")], [("A", "R", "Y"), ("B", "R", "Y")])
+    assert {r.child for r in G.lowered(lifted, up).collect()} == {"A", "B", "C"} and G.explained_edges(f, up, lifted).count() == 2
+    assert G.coverage(scope, up).first().share == 1.0
+    stats = G.statistics(*G.assemble(scope, up, kept, f, lifted))
+    assert {r.change for r in G.statistic_changes(stats, stats).collect()} == {0}
+    assert M.sample_entities(scope, 2, 1).count() == 2
