@@ -11,7 +11,7 @@ from inferweave.llm.html_extract import op4_html_extract
 from inferweave.llm.line_dedup import OP7_ORACLE, op7_line_dedup
 from inferweave.llm.media import op6_media
 from inferweave.llm.mixing import OP8_ORACLE, op8_mixing
-from inferweave.llm.near_dedup import op9_near_dedup
+from inferweave.llm.near_dedup import OP9_ORACLE, op9_near_dedup
 from inferweave.llm.sentencepiece_bpe import op1_sentencepiece
 from inferweave.llm.sharding import op10_sharding
 from inferweave.llm.toxicity import op3_toxicity
@@ -34,4 +34,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_ORACLE, "op7_line_dedup": OP7_ORACLE, "op8_mixing": OP8_ORACLE}
+    return {"op2_warc": OP2_ORACLE, "op7_line_dedup": OP7_ORACLE, "op8_mixing": OP8_ORACLE, "op9_near_dedup": OP9_ORACLE}
