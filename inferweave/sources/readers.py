@@ -63,12 +63,12 @@ def read_scope_descriptors(folder: str, defaults: dict | None = None) -> dict[st
     return out
 
 
-def discover_topics(folder: str) -> dict[str, str]:
-    """Alias -> path of the graphs in a folder (.db, .ladybug, .lbug or Parquet folders); two paths for one alias are an error."""
+def discover_topics(folder: str, extensions: tuple[str, ...] = (".db", ".graph", ".parquet", "")) -> dict[str, str]:
+    """Alias -> path of the graphs in a folder; two paths for one alias are an error."""
     out: dict[str, str] = {}
     for name in sorted(os.listdir(folder)):
         stem, ext = os.path.splitext(name)
-        if name.startswith(".") or ext not in (".db", ".ladybug", ".lbug", ".parquet", ""):
+        if name.startswith(".") or ext not in extensions:
             continue
         alias = stem.removesuffix(".g_g").removesuffix("_g").lower()
         if alias in out:

@@ -271,7 +271,7 @@ def test_files(spark, tmp_path):
     topics.mkdir()
     (topics / "Heart.g_g.db").write_text("")
     assert list(readers.discover_topics(str(topics))) == ["heart"]
-    (topics / "heart.lbug").write_text("")
+    (topics / "heart.graph").write_text("")
     with pytest.raises(ValueError):
         readers.discover_topics(str(topics))
 
