@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: White space of the word rule `[^\x20\x09-\x0D]+`, as a Java regular expression.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
+ARROW_ROWS = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +66,20 @@ def rows_of(batches: Iterator, *names: str) -> Iterator[tuple]:
     """Columns of each Arrow batch as Python lists."""
     for batch in batches:
         yield tuple(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names)
+    release_memory()
+
+
+def release_memory() -> None:
+    """Gives what a Python worker has freed back to the system; idle workers share their executor's memory with later stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def local_path(uri: str) -> tuple:
@@ -74,10 +90,15 @@ def local_path(uri: str) -> tuple:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package wherever the session was started: sends it along once per Spark context."""
+    """Lets Python workers import this package wherever the session was started: sends it along once per Spark context.
+
+    Also lowers the rows of an Arrow batch from Spark's default to ARROW_ROWS: whole texts are much longer than usual cells.
+    """
     import zipfile
 
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if getattr(sc, "_inferweave_shipped", False):
         return
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inferweave.llm.common import materialize, rows_of, ship_package, table
+from inferweave.llm.common import materialize, release_memory, rows_of, ship_package, table
 
 MAX_LABELLED = 20_000
 EVIDENCE = 24.0
@@ -33,7 +33,7 @@ PREFIXES = (4, 5, 6)
 STRONG = 5.0
 #: Numbers that a text's evidence has.
 SIGNS = 5
-MEMO = 400_000
+MEMO = 150_000
 #: Letters that a sign may stand for (fixed values). A star masks any letter.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -201,7 +201,7 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
             for t, y in zip(texts, toxic, strict=True):
                 words = {w for token in set(t.split()) for w in restorer.words(token)} | set(restorer.spaced(t))
                 seen[bool(y)].update({f for w in words for f in features(w)})
-                if len(seen[0]) + len(seen[1]) > 400_000:
+                if len(seen[0]) + len(seen[1]) > 100_000:
                     yield flush()
         yield flush()
 
@@ -294,6 +294,7 @@ class Toxicity:
                 x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
                 score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(score, pa.float64())], names=[*keep, name])
+            release_memory()
 
         schema = StructType([*docs.select(*keep).schema.fields, StructField(name, DoubleType())])
         return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
