@@ -20,10 +20,12 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inferweave.llm.common import rows_of, ship_package, table
+from inferweave.llm.common import release_memory, rows_of, ship_package, table
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+#: Words of at most so many characters keep their agenda as a list.
+SHORT, NEVER = 28, 1 << 60
 #: A worker's memo: so many words of at most so many characters.
 MEMO, LONG = 600_000, 48
 
@@ -70,12 +72,61 @@ class MergeModel:
             raise ValueError("a piece holds a space mark after another character")
         self.bytes = {int(p[3:5], 16): i for i, (p, kind) in enumerate(self.pieces) if kind == "byte"}
         self.unknown = next(i for i, (_, kind) in enumerate(self.pieces) if kind == "unknown")
+        self._number_pairs()
         self.plain = frozenset(self.ids.values())
         self.texts = [p.replace(SPACE, " ") for p, _ in self.pieces]
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def merge(self, word: str) -> list[int]:
         """Ids of a text in which spaces are space marks already."""
+        if len(word) <= SHORT and word[:2] != SPACE + SPACE:
+            return self.merge_short(word)
+        return self.ids_of(self.merge_long(word))
+
+    def _number_pairs(self) -> None:
+        """For merge_short: symbols as numbers, and for each pair of symbols that a piece is made of the piece's rank and number.
+
+        Characters that only stand inside pieces get numbers after the vocabulary's.
+        """
+        symbols = dict(self.ids)
+        for p in self.ids:
+            for c in p:
+                symbols.setdefault(c, len(self.pieces) + len(symbols))
+        ranks = {score: i for i, score in enumerate(sorted({s for p, s in self.scores.items() if p.strip(SPACE)}))}
+        if len(ranks) != sum(bool(p.strip(SPACE)) for p in self.ids):
+            raise ValueError("pieces share a score")
+        self.symbols = symbols
+        self.pairs = {}
+        for p, i in self.ids.items():
+            if p.strip(SPACE):
+                for k in range(1, len(p)):
+                    if (x := symbols.get(p[:k])) is not None and (y := symbols.get(p[k:])) is not None:
+                        self.pairs[x << 20 | y] = ranks[self.scores[p]] << 20 | i
+
+    def merge_short(self, word: str) -> list[int]:
+        """The agenda as a list of numbers that stands beside the symbols: for a few pairs, its least entry is found faster than a heap is kept.
+
+        Not for runs of space marks, whose pieces share a score.
+        """
+        get, pairs = self.symbols.get, self.pairs.get
+        symbols = [get(c, -1) for c in word]
+        if -1 in symbols:
+            return self.ids_of(self.merge_long(word))
+        agenda = [pairs(x << 20 | y, NEVER) for x, y in zip(symbols, symbols[1:])]  # noqa: B905
+        while agenda and (best := min(agenda)) != NEVER:
+            i = agenda.index(best)  # the leftmost
+            piece = symbols[i] = best & 0xFFFFF
+            del symbols[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = pairs(piece << 20 | symbols[i + 1], NEVER)
+            if i:
+                agenda[i - 1] = pairs(symbols[i - 1] << 20 | piece, NEVER)
+        if max(symbols) >= len(self.pieces):
+            return self.ids_of(self.merge_long(word))
+        return symbols
+
+    def merge_long(self, word: str) -> list[str]:
+        """The agenda as a heap, whose entries are checked when they come up: pairs may have gone meanwhile."""
         symbols: list[str | None] = list(word)
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -97,10 +148,15 @@ class MergeModel:
                     push(agenda, (scores[new], i, k, new))
             if (h := before[i]) >= 0 and (new := symbols[h] + pair) in scores:
                 push(agenda, (scores[new], h, i, new))
-        out = []
-        for s in symbols:
-            if s is not None:
-                if (x := self.ids.get(s)) is not None:
+        return [s for s in symbols if s is not None]
+
+    def ids_of(self, symbols: list[str]) -> list[int]:
+        ids = self.ids
+        out = [ids.get(s) for s in symbols]
+        if None in out:
+            out = []
+            for s in symbols:
+                if (x := ids.get(s)) is not None:
                     out.append(x)
                 elif self.bytes:
                     out.extend(self.bytes[b] for b in s.encode("utf-8", "surrogatepass"))
@@ -145,6 +201,12 @@ def load_model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
+@functools.lru_cache(maxsize=2)
+def worker_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker; its memo serves all tasks that the worker runs."""
+    return WordEncoder(load_model(path))
+
+
 class WordEncoder:
     """Encodes words, each new one by the agenda and checked against the library. An entry: ids as text, decoded text.
 
@@ -153,34 +215,39 @@ class WordEncoder:
 
     def __init__(self, model: MergeModel):
         self.model = model
+        self.names = [str(i) for i in range(len(model.pieces))]
         self.young: dict[str, tuple[str, str]] = {}
         self.old: dict[str, tuple[str, str]] = {}
 
     def learn(self, words: list[str]) -> dict[str, tuple[str, str]]:
         """Entries of words, all new."""
-        model, out = self.model, {}
+        model, out, names = self.model, {}, self.names
         theirs = model.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1) if words else []
         for w, other in zip(words, theirs, strict=True):
             ids = model.merge(w)
             if ids != other and (len(w) > 1 or other):  # the library gives nothing for an empty text
                 raise ValueError(f"the agenda and the library differ on {w[:80]!r}")
             # The decoder drops one space mark at the start; a mark put in front keeps the word's own.
-            out[w] = (",".join(map(str, ids)), model.decode([model.ids[SPACE], *ids]))
+            out[w] = (",".join([names[x] for x in ids]), model.decode([model.ids[SPACE], *ids]))
         return out
 
     def encode_chunk(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
         """For each text: number of ids, ids as text, decoded text."""
         split = [WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         young, old = self.young, self.old
-        entries = {w: young.get(w) or old.get(w) for w in {w for words in split for w in words}}
-        entries |= self.learn([w for w, e in entries.items() if e is None])
+        distinct = set()
+        distinct.update(*split)
+        entries = {w: young.get(w) for w in distinct}
+        late = {w: old.get(w) for w, e in entries.items() if e is None}
+        late |= self.learn([w for w, e in late.items() if e is None])
+        entries |= late
         if len(young) > MEMO // 2:
             self.old, self.young = young, {}
-        self.young.update((w, e) for w, e in entries.items() if len(w) <= LONG)
+        self.young.update((w, e) for w, e in late.items() if len(w) <= LONG)
         out = []
         for words in split:
             if words:
-                ids, decoded = zip(*[entries[w] for w in words], strict=True)
+                ids, decoded = zip(*map(entries.__getitem__, words), strict=True)
                 joined = ",".join(ids)
                 out.append((joined.count(",") + 1, joined, "".join(decoded)[1:]))
             else:
@@ -188,12 +255,12 @@ class WordEncoder:
         return out
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """As encode_chunk, some 250,000 characters at a time, so that the words of a batch never stand in memory together."""
+        """As encode_chunk, some 800,000 characters at a time, so that the words of a batch never stand in memory together."""
         chunk, size = [], 0
         for t in texts:
             chunk.append(t)
             size += len(t or "")
-            if size > 250_000:
+            if size > 800_000:
                 yield from self.encode_chunk(chunk)
                 chunk, size = [], 0
         yield from self.encode_chunk(chunk)
@@ -212,7 +279,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
     def run(batches: Iterator):
         import pyarrow as pa
 
-        encoder = WordEncoder(load_model(model_path))
+        encoder = worker_encoder(model_path)
         for batch in batches:
             (ids, texts), out = next(rows_of([batch], "doc_id", "text")), []
             for doc_id, (n, joined, decoded) in zip(ids, encoder.encode_batch(texts), strict=True):
@@ -222,6 +289,7 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
             types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string()] + ([pa.list_(pa.int32()), pa.string()] if with_ids else [])
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][: len(types)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=names)
+        release_memory()
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
