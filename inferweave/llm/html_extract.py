@@ -7,8 +7,9 @@ importance 1 - log n / log m. A branch's composite importance blends its present
 and branches that are under KEEP with all that is in them are removed from each page.
 
 Marks of meaning come before statistics: elements that can't be main text (navigation, footers, asides, forms,
-scripts, and anything whose class, id or role says advert, comment, notice and so on) are removed, and what an article
-or main element holds otherwise stays, however often it is repeated on the site. Nodes on fewer than LEAST pages, or
+scripts, and anything whose class, id or role says advert, comment, notice and so on) are removed, and where a page has
+an article or main element, text outside it is not main text. What such an element holds is judged by the tree like
+everything else; the mark is a prior only, as if PRIOR more pages had had styles and texts of their own there. Nodes on fewer than LEAST pages, or
 fewer than the square root of the host's pages, tell nothing and count as important; so a host's statistics stay small.
 A page from which statistics would take all text keeps it.
 """
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from inferweave.llm.common import materialize, rows_of, ship_package, table
 
 KEEP, GAMMA, LEAST = 0.3, 0.9, 5
+#: Pages with styles and texts of their own that an article or main element counts for, at each node in it.
+PRIOR = 50
 #: Streams per host in the second pass; a host's statistics are sent to each.
 SALTS = 32
 #: Element names and words of class, id or role with a meaning (fixed values).
@@ -147,18 +150,18 @@ def inner_text(n: Node) -> str:
 class Styled:
     """A node of a page's branch of the style tree: its place, its style (or its text's hash, at leaves) and what is below."""
 
-    __slots__ = ("node", "place", "value", "leaf", "kids")
+    __slots__ = ("node", "place", "value", "leaf", "inside", "kids")
 
 
 def styled(root: Node) -> list[Styled]:
-    """The block branches of a page that meaning doesn't settle: noise and what landmarks hold are left out."""
+    """The block branches of a page that meaning doesn't settle: noise is left out."""
     import xxhash
 
     h = lambda *x: xxhash.xxh64_intdigest("\0".join(map(str, x))) - (1 << 63)
 
-    def walk(n: Node, place: int) -> Styled:
+    def walk(n: Node, place: int, inside: bool) -> Styled:
         s = Styled()
-        s.node, s.place, s.kids = n, place, []
+        s.node, s.place, s.inside, s.kids = n, place, inside, []
         blocks = [k for k in n.kids if isinstance(k, Node) and (k.tag in BLOCK or has_blocks(k))]
         s.leaf = not blocks
         if s.leaf:
@@ -166,19 +169,20 @@ def styled(root: Node) -> list[Styled]:
             return s
         s.value = h(*(f"{k.tag}.{k.attrs}" for k in blocks))
         for i, k in enumerate(blocks):
-            if not is_noise(k, False) and not is_landmark(k):
-                s.kids.append(walk(k, h(place, s.value, i, k.tag)))
+            if not is_noise(k, inside):
+                within = inside or is_landmark(k)
+                s.kids.append(walk(k, h(place, s.value, i, k.tag, *(["in"] if within else [])), within))
         return s
 
-    return [walk(root, 0)]
+    return [walk(root, 0, False)]
 
 
 def observations(root: Node):
-    """Every (place, leaf, value) of a page."""
+    """Every (place, leaf, inside, value) of a page."""
     todo = styled(root)
     while todo:
         s = todo.pop()
-        yield s.place, s.leaf, s.value
+        yield s.place, s.leaf, s.inside, s.value
         todo += s.kids
 
 
@@ -234,7 +238,7 @@ def blocks(root: Node, low: set[int]) -> list[str]:
                     text.append(k)
             elif k.tag == "br":
                 text.append(" ")
-            elif not is_noise(k, inside) and (inside or id(k) not in low):
+            elif not is_noise(k, inside) and id(k) not in low:
                 if k.tag in BLOCK:
                     end()
                 walk(k, inside or is_landmark(k))
@@ -264,24 +268,26 @@ def style_trees(pages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         def flush(seen):
-            cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "leaf", "value", "n"])
+            cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 6
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "leaf", "inside", "value", "n"])
 
         seen: Counter = Counter()
         for hosts, sources in rows_of(batches, "host", "html"):
             for host, source in zip(hosts, sources, strict=True):
-                for place, leaf, value in observations(parse(source or "")):
-                    seen[host, place, leaf, value] += 1
+                for place, leaf, inside, value in observations(parse(source or "")):
+                    seen[host, place, leaf, inside, value] += 1
                 if len(seen) > 200_000:
                     yield flush(seen)
                     seen.clear()
         yield flush(seen)
 
-    counts = pages.mapInArrow(run, "host string, place bigint, leaf boolean, value bigint, n bigint").groupBy("host", "place", "leaf", "value").agg(F.sum("n").alias("n"))
+    counts = pages.mapInArrow(run, "host string, place bigint, leaf boolean, inside boolean, value bigint, n bigint").groupBy("host", "place", "leaf", "inside", "value").agg(F.sum("n").alias("n"))
     counts = materialize(counts, "style-nodes")
-    nodes = counts.groupBy("host", "place", "leaf").agg(F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
+    nodes = counts.groupBy("host", "place", "leaf", "inside").agg(F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
     size = nodes.where("place = 0").groupBy("host").agg(F.sum("m").alias("pages"))
     nodes = nodes.join(size, "host").where((F.col("m") >= LEAST) & (F.col("m") * F.col("m") >= F.col("pages")))
+    # the prior's pages have styles and texts of their own, which add nothing to s
+    nodes = nodes.withColumn("m", F.col("m") + F.when(F.col("inside"), PRIOR).otherwise(0))
     presented = nodes.where("NOT leaf").select("host", F.col("place").alias("key"), (1 - F.col("s") / (F.col("m") * F.log("m"))).alias("imp"), "styles")
     shared = counts.where("leaf AND n > 1").join(nodes.where("leaf").select("host", "place", "m"), ["host", "place"])
     shared = shared.select("host", F.col("place").bitwiseXOR(F.col("value")).alias("key"), (1 - F.log("n") / F.log("m")).alias("imp"), F.lit(0).cast("bigint").alias("styles")).where(F.col("imp") < 0.5)

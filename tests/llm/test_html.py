@@ -50,6 +50,13 @@ def test_landmarks_keep_what_is_repeated(spark):
     assert all(r.text.endswith("shared line") and "Welcome" not in r.text for r in got)
 
 
+def test_the_tree_judges_inside_landmarks(spark):
+    notice = "<div><p>Members of the club read this first</p><p>Ask at the desk</p></div>"
+    rows = [(i, f, r.replace("<article>", f"<article>{notice}<section>").replace("</article>", "</section></article>")) for i, f, r in site(90, True)]
+    got = X.extract(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == 90 and all("Members" not in r.text and "desk" not in r.text and f"{r.page_id}0" in r.text for r in got)
+
+
 def test_one_page_sites_and_odd_rows(spark):
     rows = [(1, "http://b/", "<p>alone</p>"), (2, None, "<p>no url</p>"), (3, "x", None), (None, "http://b/", "<p>no id</p>"), (1, "http://b/", "<p>alone</p>")]
     got = X.extract(spark.createDataFrame([(*r, "e") for r in rows], SCHEMA + ", host string")).collect()
