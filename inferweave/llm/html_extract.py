@@ -9,8 +9,8 @@ and branches that are under KEEP with all that is in them are removed from each
 Marks of meaning come before statistics: elements that can't be main text (navigation, footers, asides, forms,
 scripts, and anything whose class, id or role says advert, comment, notice and so on) are removed, and where a page has
 an article or main element, text outside it is not main text. What such an element holds is judged by the tree like
-everything else; the mark is a prior only, as if PRIOR more pages had had styles and texts of their own there. Nodes on fewer than LEAST pages, or
-fewer than the square root of the host's pages, tell nothing and count as important; so a host's statistics stay small.
+everything else; the mark is a prior only, as if PRIOR more pages had had styles and texts of their own there. Nodes on fewer than LEAST pages tell
+nothing and count as important, whatever the size of the host. Each page is joined to the statistics of its own nodes.
 A page from which statistics would take all text keeps it.
 """
 
@@ -19,7 +19,6 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +28,8 @@ from inferweave.llm.common import materialize, rows_of, ship_package, table
 KEEP, GAMMA, LEAST = 0.3, 0.9, 5
 #: Pages with styles and texts of their own that an article or main element counts for, at each node in it.
 PRIOR = 50
-#: Streams per host in the second pass; a host's statistics are sent to each.
-SALTS = 32
+#: What so many rows share (a node of the tree, a page's copies) is joined by broadcast, so that no task gets all of them.
+HEAVY = 2000
 #: Element names and words of class, id or role with a meaning (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -261,72 +260,86 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def style_trees(pages: DataFrame) -> DataFrame:
-    """host, known (array of key, importance, styles) for pages (host, html): what is worth knowing of each host's tree."""
+def page_nodes(pages: DataFrame) -> DataFrame:
+    """host, page, place, leaf, inside, value: each node of each page of pages (host, page, html)."""
+    kinds = "host string, page bigint, place bigint, leaf boolean, inside boolean, value bigint"
 
     def run(batches):
         import pyarrow as pa
 
-        def flush(seen):
-            cols = list(zip(*((*k, n) for k, n in seen.items()), strict=True)) or [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64()), strict=True)], names=["host", "place", "leaf", "inside", "value", "n"])
-
-        seen: Counter = Counter()
-        for hosts, sources in rows_of(batches, "host", "html"):
-            for host, source in zip(hosts, sources, strict=True):
-                for place, leaf, inside, value in observations(parse(source or "")):
-                    seen[host, place, leaf, inside, value] += 1
-                if len(seen) > 200_000:
-                    yield flush(seen)
-                    seen.clear()
-        yield flush(seen)
-
-    counts = pages.mapInArrow(run, "host string, place bigint, leaf boolean, inside boolean, value bigint, n bigint").groupBy("host", "place", "leaf", "inside", "value").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "style-nodes")
+        types = (pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64())
+        for columns in rows_of(batches, "host", "page", "html"):
+            found = [(host, page, *o) for host, page, source in zip(*columns, strict=True) for o in observations(parse(source or ""))]
+            cols = list(zip(*found, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=[c.split()[0] for c in kinds.split(", ")])
+
+    return pages.mapInArrow(run, kinds)
+
+
+def style_trees(found: DataFrame) -> DataFrame:
+    """host, key, imp, styles, rows (how many nodes of pages have the key): what can lower an importance in the trees of page_nodes."""
+    counts = found.groupBy("host", "place", "leaf", "inside", "value").agg(F.count("*").alias("n"))
     nodes = counts.groupBy("host", "place", "leaf", "inside").agg(F.sum("n").alias("m"), F.count("*").alias("styles"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    size = nodes.where("place = 0").groupBy("host").agg(F.sum("m").alias("pages"))
-    nodes = nodes.join(size, "host").where((F.col("m") >= LEAST) & (F.col("m") * F.col("m") >= F.col("pages")))
+    nodes = nodes.where(F.col("m") >= LEAST).withColumn("rows", F.col("m"))
     # the prior's pages have styles and texts of their own, which add nothing to s
     nodes = nodes.withColumn("m", F.col("m") + F.when(F.col("inside"), PRIOR).otherwise(0))
-    presented = nodes.where("NOT leaf").select("host", F.col("place").alias("key"), (1 - F.col("s") / (F.col("m") * F.log("m"))).alias("imp"), "styles")
+    presented = nodes.where("NOT leaf").select("host", F.col("place").alias("key"), (1 - F.col("s") / (F.col("m") * F.log("m"))).alias("imp"), "styles", "rows")
     shared = counts.where("leaf AND n > 1").join(nodes.where("leaf").select("host", "place", "m"), ["host", "place"])
-    shared = shared.select("host", F.col("place").bitwiseXOR(F.col("value")).alias("key"), (1 - F.log("n") / F.log("m")).alias("imp"), F.lit(0).cast("bigint").alias("styles")).where(F.col("imp") < 0.5)
-    return presented.unionByName(shared).groupBy("host").agg(F.collect_list(F.struct("key", "imp", "styles")).alias("known"))
+    shared = shared.select("host", F.col("place").bitwiseXOR(F.col("value")).alias("key"), (1 - F.log("n") / F.log("m")).alias("imp"), F.lit(0).cast("bigint").alias("styles"), F.col("n").alias("rows"))
+    # a branch goes only if all in it is under KEEP, so texts of more importance need no entry
+    return presented.unionByName(shared.where(F.col("imp") < KEEP))
+
+
+def joined(rows: DataFrame, stats: DataFrame, on: list[str], spread: list[str], how: str) -> DataFrame:
+    """rows joined with stats (unique in on): entries that at least HEAVY rows share are broadcast, the others shuffled.
+
+    how: inner or left. spread: columns that deal the rows of broadcast entries out where a left join shuffles them too.
+    """
+    values = [c for c in stats.columns if c not in (*on, "rows")]
+    few = stats.where(F.col("rows") >= HEAVY).select(*on, F.struct(*values).alias("_heavy"))  # at most one in HEAVY rows
+    rows = rows.join(F.broadcast(few), on, "left")
+    light = stats.where(F.col("rows") < HEAVY).select(F.lit(0).cast("bigint").alias("_turn"), *on, F.struct(*values).alias("_light"))
+    if how == "inner":
+        hot = rows.where("_heavy IS NOT NULL").select(*[c for c in rows.columns if c != "_heavy"], "_heavy.*")
+        cold = rows.where("_heavy IS NULL").drop("_heavy").join(light.drop("_turn"), on)
+        return hot.unionByName(cold.select(*[c for c in rows.columns if c != "_heavy"], "_light.*"))
+    rows = rows.withColumn("_turn", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
+    rows = rows.join(light, [*on, "_turn"], "left").withColumn("_stats", F.coalesce("_heavy", "_light"))
+    return rows.select(*[c for c in rows.columns if c not in ("_heavy", "_light", "_turn", "_stats")], "_stats.*")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html).
 
     Null html gives an empty text; pages whose url has no host form one site. Rows may repeat; an empty table gives an
-    empty table. In the second pass the rows of a host follow its statistics in SALTS sorted streams, so that a task
-    holds one host's statistics and one batch of pages.
+    empty table. A task holds one batch of pages, each with the statistics of its own nodes; equal pages of a host
+    share them.
     """
     ship_package(pages.sparkSession)
-    pages = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host"))
-    known = materialize(style_trees(pages.select("host", "html")), "style-trees")
-    empty = F.lit(None).cast("array<struct<key:bigint,imp:double,styles:bigint>>")
-    first = known.select("host", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(None).cast("bigint").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), F.lit(0).alias("turn"), "known")
-    rows = pages.select("host", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int").alias("salt"), "page_id", "url", "html", F.lit(1).alias("turn"), empty.alias("known"))
-    stream = first.unionByName(rows).repartition("host", "salt").sortWithinPartitions("host", "salt", "turn")
+    pages = pages.select(F.col("page_id").cast("bigint"), "url", "html", host_of(F.col("url")).alias("host")).withColumn("page", F.xxhash64("html"))
+    found = materialize(page_nodes(pages.select("host", "page", "html")), "page-nodes")
+    trees = materialize(style_trees(found), "style-trees")
+    # the root's place is 0: a page has it once, whatever its copies
+    copies = F.count(F.when(F.col("place") == 0, 1)).alias("n")
+    key = F.when(F.col("leaf"), F.col("place").bitwiseXOR(F.col("value"))).otherwise(F.col("place")).alias("key")
+    nodes = joined(found.select("host", "page", "place", key), trees, ["host", "key"], [], "inner")
+    known = nodes.groupBy("host", "page", "key", "imp", "styles").agg(copies)
+    known = known.groupBy("host", "page").agg(F.collect_list(F.struct("key", "imp", "styles")).alias("known"), F.max("n").alias("rows"))
+    known = materialize(known.where(F.exists("known", lambda e: e["styles"] == 0)), "page-trees")
+    rows = joined(pages, known, ["host", "page"], ["page_id", "url"], "left")
 
     def run(batches):
         import pyarrow as pa
 
-        at, tree = None, {}
-        for columns in rows_of(batches, "host", "salt", "page_id", "url", "html", "turn", "known"):
+        for columns in rows_of(batches, "page_id", "url", "html", "known"):
             out = []
-            for host, salt, page_id, url, source, turn, entries in zip(*columns, strict=True):
-                if (host, salt) != at:
-                    at, tree = (host, salt), {}
-                if turn == 0:
-                    tree = {e["key"]: (e["imp"], e["styles"]) for e in entries}
-                else:
-                    text = main_text(source, tree)
-                    out.append((page_id, url, text, len(text)))
+            for page_id, url, source, entries in zip(*columns, strict=True):
+                text = main_text(source, {e["key"]: (e["imp"], e["styles"]) for e in entries or ()})
+                out.append((page_id, url, text, len(text)))
             cols = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["page_id", "url", "text", "n_chars"])
 
-    return stream.mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
+    return rows.select("page_id", "url", "html", "known").mapInArrow(run, "page_id bigint, url string, text string, n_chars bigint")
 
 
 def op4_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,6 +57,17 @@ def test_the_tree_judges_inside_landmarks(spark):
     assert len(got) == 90 and all("Members" not in r.text and "desk" not in r.text and f"{r.page_id}0" in r.text for r in got)
 
 
+def test_what_a_small_part_of_a_large_site_shares(spark, monkeypatch):
+    notice = "<section><p>Ask at the desk</p></section>"
+    text = lambda i: f"<p>text {i} of its own</p>"
+    rows = [(i, "http://d/", f"<body><ul><li>{'<b>x</b>' * 3}</li></ul><div>{text(i)}</div>{notice}</body>") for i in range(12)]
+    rows += [(i, "http://d/", f"<body><div>{text(i)}</div></body>") for i in range(12, 400)]
+    for heavy in (X.HEAVY, 3):
+        monkeypatch.setattr(X, "HEAVY", heavy)
+        got = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows + rows[:1] * 5, SCHEMA)).collect()}
+        assert got == {i: f"text {i} of its own" for i in range(400)}
+
+
 def test_one_page_sites_and_odd_rows(spark):
     rows = [(1, "http://b/", "<p>alone</p>"), (2, None, "<p>no url</p>"), (3, "x", None), (None, "http://b/", "<p>no id</p>"), (1, "http://b/", "<p>alone</p>")]
     got = X.extract(spark.createDataFrame([(*r, "e") for r in rows], SCHEMA + ", host string")).collect()
