@@ -272,12 +272,14 @@ class Image:
     """What the markers of one image say; scans refer to intervals of its entropy-coded data."""
 
     def __init__(self, data: bytes):
-        self.comment, self.scans, self.quant = b"", [], {}
+        self.comment, self.scans, self.quant, self.adobe = b"", [], {}, None
         tables: dict[int, bytes] = {}
         restart, at = 0, 2
         if data[:2] != b"\xff\xd8":
             raise ValueError("not a JPEG")
         while True:
+            while data[at : at + 2] == b"\xff\xff":  # fill bytes
+                at += 1
             marker = data[at + 1]
             if data[at] != 0xFF:
                 raise ValueError("a marker is missing")
@@ -288,6 +290,8 @@ class Image:
             at += 2 + n
             if marker == 0xFE:
                 self.comment = body
+            elif marker == 0xEE and body[:5] == b"Adobe":
+                self.adobe = body[11]
             elif marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
@@ -313,17 +317,34 @@ class Image:
             elif marker == 0xDA:
                 end = SCAN_END.search(data, at).start()
                 count = body[0]
-                if count != 1:
-                    raise ValueError("scans of several components aren't read")
-                comp = next(i for i, p in enumerate(self.parts) if p[0] == body[1])
-                first, last, bits = body[3], body[4], body[5]
-                spec = b"" if first == 0 and bits >> 4 else tables[(16 | body[2] & 15) if first else body[2] >> 4]
-                self.scans.append((comp, first, last, bits >> 4, bits & 15, restart, spec, RESTARTS.split(data[at:end])))
+                comps = tuple(next(i for i, p in enumerate(self.parts) if p[0] == body[1 + 2 * k]) for k in range(count))
+                first, last, bits = body[1 + 2 * count], body[2 + 2 * count], body[3 + 2 * count]
+                specs = tuple(b"" if first == 0 and bits >> 4 else tables[(16 | body[2 + 2 * k] & 15) if first else body[2 + 2 * k] >> 4] for k in range(count))
+                # a scan of one component has it and its table, others have tuples
+                which = (comps, specs) if count > 1 else (comps[0], specs[0])
+                self.scans.append((which[0], first, last, bits >> 4, bits & 15, restart, which[1], RESTARTS.split(data[at:end])))
                 at = end
 
 
+    def mcu_blocks(self, comps: tuple[int, ...], starts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """In the order of a scan of several components: each block's row (-1: outside the component) and its component in the scan."""
+        wide, high = self.mcus
+        y, x = (a.reshape(-1, 1) for a in np.mgrid[0:high, 0:wide])
+        rows, slots = [], []
+        for slot, (comp, start) in enumerate(zip(comps, starts, strict=True)):
+            _, h, v, _ = self.parts[comp]
+            across, down = self.sizes[comp]
+            by, bx = (a.reshape(1, -1) for a in np.mgrid[0:v, 0:h])
+            r, c = y * v + by, x * h + bx
+            rows.append(np.where((r < down) & (c < across), start + r * across + c, -1))
+            slots.append(np.full(rows[-1].shape, slot))
+        return np.concatenate(rows, axis=1).reshape(-1), np.concatenate(slots, axis=1).reshape(-1)
+
+
 RESTARTS, SCAN_END = re.compile(rb"\xff[\xd0-\xd7]"), re.compile(rb"\xff[^\x00\xd0-\xd7\xff]")
 
+PAYLOAD = re.compile(rb"bytes=(\d+);payload=(\d+)")
+
 
 class Intervals:
     """Restart intervals that are read in lockstep: bit positions in one buffer, and the blocks that each fills."""
@@ -371,6 +392,24 @@ def read_dc(x: Intervals, coef: np.ndarray, ah: int, al: int) -> None:
         coef[x.base[on] + i, 0] = level[on] << al
 
 
+def read_dc_mixed(x: Intervals, coef: np.ndarray, rows: np.ndarray, slots: np.ndarray, ah: int, al: int) -> None:
+    """A DC scan of several components. x: base is each interval's place in rows and slots, and table has a row per interval."""
+    p, level = x.p.copy(), np.zeros(x.table.shape, np.int64)
+    for i in range(int(x.blocks.max(initial=0))):
+        on = np.flatnonzero(x.blocks > i)
+        w, row, slot = x.window(p[on]), rows[x.base[on] + i], slots[x.base[on] + i]
+        real = row >= 0
+        if ah:
+            coef[row[real], 0] |= (w[real] >> np.uint64(63)).astype(np.int16) << al
+            p[on] += 1
+            continue
+        entry = x.tables[x.table[on, slot] + (w >> np.uint64(48)).astype(np.int64)]
+        length, size = entry >> 8, entry & 255
+        level[on, slot] += extend(take(w, length, size), size)
+        p[on] += length + size
+        coef[row[real], 0] = level[on, slot][real] << al
+
+
 def read_ac(x: Intervals, coef: np.ndarray, first: int, last: int, al: int) -> None:
     flat = coef.reshape(-1)
     p, tables = x.p.copy(), x.table
@@ -454,10 +493,27 @@ def coefficients(images: list[Image]) -> list[list[np.ndarray]]:
     coef = np.zeros((total, 64), np.int16)
     for s in range(max((len(i.scans) for i in images), default=0)):
         kinds: dict[tuple, list] = {}
+        mixed: dict[tuple, list] = {}
         for i, image in enumerate(images):
             if s < len(image.scans):
                 comp, first, last, ah, al, restart, spec, pieces = image.scans[s]
+                if isinstance(comp, tuple):
+                    step = restart * sum(image.parts[c][1] * image.parts[c][2] for c in comp)
+                    mixed.setdefault((len(comp), ah, al), []).append((*image.mcu_blocks(comp, [starts[i, c] for c in comp]), step, spec, pieces))
+                    continue
                 kinds.setdefault((first, last, ah, al), []).append((starts[i, comp], image.sizes[comp][0] * image.sizes[comp][1], restart, spec, pieces))
+        for (count, ah, al), group in mixed.items():
+            pieces, base, blocks, specs, start = [], [], [], [], 0
+            for rows, _, restart, own, found in group:
+                step = restart or len(rows)
+                pieces += found
+                base += range(start, start + len(rows), step)
+                blocks += [min(step, len(rows) - b) for b in range(0, len(rows), step)]
+                specs += [own] * len(found)
+                start += len(rows)
+            x = Intervals(pieces, np.array(base, np.int64), np.array(blocks, np.int64), [t for own in specs for t in own])
+            x.table = x.table.reshape(-1, count)
+            read_dc_mixed(x, coef, np.concatenate([g[0] for g in group]), np.concatenate([g[1] for g in group]), ah, al)
         for (first, last, ah, al), group in kinds.items():
             pieces, base, blocks, specs = [], [], [], []
             for start, n, restart, spec, found in group:
@@ -492,12 +548,21 @@ def to_rgb(image: Image, coef: list[np.ndarray]) -> np.ndarray:
         rows = (natural.reshape(-1, 8) @ basis).reshape(-1, 8, 8)  # along each row
         cells = (rows.transpose(0, 2, 1).reshape(-1, 8) @ basis).reshape(high, wide, 8, 8)  # along each column; x, then y
         plane = cells.transpose(0, 3, 1, 2).reshape(high * 8, wide * 8) + np.float32(128)
-        plane = np.repeat(np.repeat(plane, image.vmax // v, axis=0), image.hmax // h, axis=1)
+        if image.vmax % v or image.hmax % h:
+            plane = plane[np.ix_(np.arange(image.height) * v // image.vmax, np.arange(image.width) * h // image.hmax)]
+        else:
+            plane = np.repeat(np.repeat(plane, image.vmax // v, axis=0), image.hmax // h, axis=1)
         planes.append(np.clip(np.rint(plane[: image.height, : image.width]), 0, 255))
     if len(planes) == 1:
         return np.repeat(planes[0][:, :, None], 3, axis=2).astype(np.uint8)
-    y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
-    rgb = np.stack([y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb], axis=2)
+    if image.adobe == 0 or (len(planes) == 4 and image.adobe != 2):  # RGB or CMYK as they are
+        rgb = np.stack(planes[:3], axis=2)
+    else:
+        y, cb, cr = planes[0], planes[1] - 128, planes[2] - 128
+        rgb = np.stack([y + np.float32(1.402) * cr, y - np.float32(0.344136) * cb - np.float32(0.714136) * cr, y + np.float32(1.772) * cb], axis=2)
+    if len(planes) == 4:  # Adobe stores inks inverted
+        rgb, key = (np.clip(rgb, 0, 255), planes[3]) if image.adobe is not None else (255 - rgb, 255 - planes[3])
+        rgb = rgb * key[:, :, None] / 255
     return np.clip(np.rint(rgb), 0, 255).astype(np.uint8)
 
 
@@ -507,9 +572,12 @@ def decode_images(media: list[bytes]) -> list[tuple[Image, list[np.ndarray], np.
     return [(i, c, to_rgb(i, c)) for i, c in zip(images, coefficients(images), strict=True)]
 
 
-def read_payload(image: Image, coef: list[np.ndarray]) -> tuple[int, bytes]:
-    """The unpadded size and the payload that encode_payloads has stored."""
-    n, size = (int(x.partition("=")[2]) for x in image.comment.decode().split(";"))
+def read_payload(image: Image, coef: list[np.ndarray]) -> tuple[int, bytes] | None:
+    """The unpadded size and the payload that encode_payloads has stored; None for images of other encoders."""
+    stored = PAYLOAD.fullmatch(image.comment)
+    if stored is None:
+        return None
+    n, size = map(int, stored.groups())
     return n, byte_values()[1][np.concatenate(coef).reshape(-1)[:size] + 127].tobytes()
 
 
@@ -550,7 +618,11 @@ def encode_column(docs: DataFrame) -> DataFrame:
 
 
 def decode_column(media: DataFrame, tensors: bool = False) -> DataFrame:
-    """What the stored bytes hold: sizes and digests of the payload and the media, and a feature; tensors adds height, width and rgb (binary, rows of RGB bytes)."""
+    """What the stored bytes hold: sizes and digests of the payload and the media, and a feature; tensors adds height, width and rgb (binary, rows of RGB bytes).
+
+    Progressive images of other encoders have no payload: its columns are null. Null media have nulls in all columns but
+    doc_id. Anything else that isn't a progressive JPEG is an error.
+    """
     ship_package(media.sparkSession)
     schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
     schema += ", height int, width int, rgb binary" if tensors else ""
@@ -562,11 +634,19 @@ def decode_column(media: DataFrame, tensors: bool = False) -> DataFrame:
 
         kinds = [{"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[t] for t in types]
         for columns in rows_of(batches, "doc_id", "media"):
-            for part in grouped(zip(*columns, strict=True), lambda row: len(row[1])):
+            rows = ((i, m, None if m is None else Image(m)) for i, m in zip(*columns, strict=True))
+            # an image of few bytes may have many coefficients
+            for part in grouped(rows, lambda row: 0 if row[1] is None else max(len(row[1]), 32 * sum(w * h for w, h in row[2].sizes))):
                 out = []
-                for (i, m), (image, coef, rgb) in zip(part, decode_images([m for _, m in part]), strict=True):
-                    n, payload = read_payload(image, coef)
-                    row = (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), tensor_feature(rgb))
+                coefs = iter(coefficients([image for _, _, image in part if image is not None]))
+                for i, m, image in part:
+                    if image is None:
+                        out.append((i, *[None] * (len(names) - 1)))
+                        continue
+                    coef = next(coefs)
+                    rgb, stored = to_rgb(image, coef), read_payload(image, coef)
+                    held = (None,) * 4 if stored is None else (stored[0], len(stored[1]), hashlib.sha256(stored[1]).hexdigest(), zlib.crc32(stored[1][-32:]))
+                    row = (i, *held, len(m), hashlib.sha256(m).hexdigest(), tensor_feature(rgb))
                     out.append(row + ((*rgb.shape[:2], rgb.tobytes()) if tensors else ()))
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
