@@ -8,8 +8,8 @@ remembers up to MEMO words.
 
 Restored words are scored by a lexicon of words and word beginnings that are much more frequent in lines of documents
 labelled toxic (log-likelihood ratio of at least EVIDENCE), and a logistic model turns a document's evidence into a
-probability. The lexicon and the model are learned from at most MAX_LABELLED labelled documents, taken by a hash of
-their ids; the language model counts all documents.
+probability. The lexicon counts all labelled documents that aren't held out, and the language model all documents; the
+logistic weights are fitted on about MAX_LABELLED labelled documents at most, taken by a hash of their ids.
 """
 
 from __future__ import annotations
@@ -26,7 +26,10 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from inferweave.llm.common import materialize, release_memory, rows_of, ship_package, table
 
-MAX_LABELLED = 20_000
+#: Documents that the logistic weights are fitted on.
+MAX_LABELLED = 200_000
+#: Up to so many labelled ids are broadcast; above, they are joined with the texts by shuffle.
+BROADCAST_IDS = 500_000
 EVIDENCE = 24.0
 PREFIXES = (4, 5, 6)
 #: Hits of at least so much weight are also counted apart.
@@ -184,7 +187,7 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
     """Weights of features by labelled lines: labelled has text and toxic. Equal lines count once, so that copies weigh nothing more."""
     lines = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select((F.col("toxic") > 0).alias("toxic"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min("line").alias("line"), F.max("toxic").alias("toxic")).where("line != ''")
-    lines = lines.select("line", "toxic")
+    lines = materialize(lines.select("line", "toxic"), "labelled-lines")
 
     def run(batches):
         import pyarrow as pa
@@ -216,7 +219,7 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
     llr = 2 * (part(F.col("t"), n1) + part(F.col("c"), n0))
     odds = F.log((F.col("t") + 0.5) / (n1 + 1.0)) - F.log((F.col("c") + 0.5) / (n0 + 1.0))
     strong = counts.where("t >= 3").select("feature", llr.alias("llr"), odds.alias("w")).where((F.col("llr") >= EVIDENCE) & (F.col("w") >= 1.5))
-    return {r["feature"]: float(r["w"]) for r in strong.collect()}  # few: each needs several of the bounded labelled lines
+    return {r["feature"]: float(r["w"]) for r in strong.collect()}  # at most as many as there are words that tell the classes apart
 
 
 class Scorer(dict):
@@ -313,13 +316,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     model = log_model(trigram_counts(docs))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out_rows(F.col("doc_id"))).dropDuplicates(["doc_id"])
     n = known.count()
-    if n > MAX_LABELLED:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
-    # about MAX_LABELLED ids at most, so they are broadcast and the texts aren't shuffled
-    rows = materialize(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), "labelled")
-    lexicon = learn_lexicon(rows, model)
+    labelled = lambda ids, few: docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    lexicon = learn_lexicon(labelled(known, n <= BROADCAST_IDS), model)
     if not lexicon:
         return Toxicity(model, {}, np.array([-30.0] + [0.0] * SIGNS))
+    if n > MAX_LABELLED:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
+    rows = labelled(known, True)  # about MAX_LABELLED ids at most
 
     def run(batches):
         import pyarrow as pa

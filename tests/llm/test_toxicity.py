@@ -68,3 +68,15 @@ def test_nothing_to_learn(documents, spark):
     assert X.scored(documents([]), none).count() == 0
     nulls = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, toxic int")
     assert X.scored(documents([(1, "idiot")]), nulls).count() == 1
+
+
+def test_lexicon_counts_all_labelled_documents(documents, spark, monkeypatch):
+    rows, labels = labelled(documents, spark)
+    rows = [(i, f"{t} {'rareinsult' if y else 'calm'} {i}") for (i, t), (_, y) in zip(rows, map(tuple, labels.collect()), strict=True)]
+    docs = documents(rows)
+    whole = X.fit(docs, labels)
+    monkeypatch.setattr(X, "MAX_LABELLED", 40)
+    part = X.fit(docs, labels)
+    assert "=rareinsult" in part.lexicon and part.lexicon == whole.lexicon
+    monkeypatch.setattr(X, "BROADCAST_IDS", 10)
+    assert X.fit(docs, labels).lexicon == whole.lexicon
