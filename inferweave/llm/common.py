@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,27 @@ def inline_table(spark: SparkSession, json_text: str, schema: str) -> DataFrame:
     return spark.range(0, 1, 1, 1).select(F.explode(rows).alias("r")).select("r.*")
 
 
+def joined(rows: DataFrame, stats: DataFrame, on: list[str], spread: list[str], how: str, heavy: int) -> DataFrame:
+    """rows joined with stats (unique in on, with a number rows): entries that at least heavy rows share are broadcast, the others shuffled.
+
+    So no task gets more than heavy rows of one key. At most count of rows / heavy entries are broadcast: callers raise
+    heavy with that count to keep it bounded. how: inner or left. spread: columns that deal the rows of broadcast
+    entries out where a left join shuffles them too.
+    """
+    values = [c for c in stats.columns if c not in (*on, "rows")]
+    few = stats.where(F.col("rows") >= heavy).select(*on, F.struct(*values).alias("_heavy"))
+    rows = rows.join(F.broadcast(few), on, "left")
+    light = stats.where(F.col("rows") < heavy).select(F.lit(0).cast("bigint").alias("_turn"), *on, F.struct(*values).alias("_light"))
+    if how == "inner":
+        hot = rows.where("_heavy IS NOT NULL").select(*[c for c in rows.columns if c != "_heavy"], "_heavy.*")
+        cold = rows.where("_heavy IS NULL").drop("_heavy").join(light.drop("_turn"), on)
+        return hot.unionByName(cold.select(*[c for c in rows.columns if c != "_heavy"], "_light.*"))
+    # rows without a light entry are dealt out: by spread, apart from the keys of light entries
+    rows = rows.withColumn("_turn", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
+    rows = rows.join(light, [*on, "_turn"], "left").withColumn("_stats", F.coalesce("_heavy", "_light"))
+    return rows.select(*[c for c in rows.columns if c not in ("_heavy", "_light", "_turn", "_stats")], "_stats.*")
+
+
 def crc32_text(text: Column) -> Column:
     """Unsigned CRC-32 of a text's UTF-8 bytes (null: of none)."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
@@ -82,6 +103,21 @@ def release_memory() -> None:
         pass
 
 
+_SLOT: dict = {}
+
+
+def worker_memo(key: Hashable, make: Callable):
+    """What an operator remembers in this Python worker between tasks. There is one slot: another operator's key empties it,
+
+    so that the stages of a pipeline, which share their workers, don't add up in memory.
+    """
+    if key not in _SLOT:
+        _SLOT.clear()
+        release_memory()
+        _SLOT[key] = make()
+    return _SLOT[key]
+
+
 def local_path(uri: str) -> tuple:
     """A pyarrow file system and the path in it for a URI of the shared folder."""
     from pyarrow import fs

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferweave.llm.common import materialize, rows_of, ship_package, table
+from inferweave.llm.common import joined, materialize, rows_of, ship_package, table
 
 KEEP, GAMMA, LEAST = 0.3, 0.9, 5
 #: Pages with styles and texts of their own that an article or main element counts for, at each node in it.
@@ -290,24 +290,6 @@ def style_trees(found: DataFrame) -> DataFrame:
     return presented.unionByName(shared.where(F.col("imp") < KEEP))
 
 
-def joined(rows: DataFrame, stats: DataFrame, on: list[str], spread: list[str], how: str) -> DataFrame:
-    """rows joined with stats (unique in on): entries that at least HEAVY rows share are broadcast, the others shuffled.
-
-    how: inner or left. spread: columns that deal the rows of broadcast entries out where a left join shuffles them too.
-    """
-    values = [c for c in stats.columns if c not in (*on, "rows")]
-    few = stats.where(F.col("rows") >= HEAVY).select(*on, F.struct(*values).alias("_heavy"))  # at most one in HEAVY rows
-    rows = rows.join(F.broadcast(few), on, "left")
-    light = stats.where(F.col("rows") < HEAVY).select(F.lit(0).cast("bigint").alias("_turn"), *on, F.struct(*values).alias("_light"))
-    if how == "inner":
-        hot = rows.where("_heavy IS NOT NULL").select(*[c for c in rows.columns if c != "_heavy"], "_heavy.*")
-        cold = rows.where("_heavy IS NULL").drop("_heavy").join(light.drop("_turn"), on)
-        return hot.unionByName(cold.select(*[c for c in rows.columns if c != "_heavy"], "_light.*"))
-    rows = rows.withColumn("_turn", F.when(F.col("_heavy").isNotNull(), F.xxhash64(*spread).bitwiseOR(F.lit(1))).otherwise(F.lit(0).cast("bigint")))
-    rows = rows.join(light, [*on, "_turn"], "left").withColumn("_stats", F.coalesce("_heavy", "_light"))
-    return rows.select(*[c for c in rows.columns if c not in ("_heavy", "_light", "_turn", "_stats")], "_stats.*")
-
-
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html).
 

@@ -9,7 +9,6 @@ Documents whose sketches agree in all coordinates of a band are candidates; cand
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferweave.llm.common import materialize, rows_of, ship_package, table
+from inferweave.llm.common import materialize, rows_of, ship_package, table, worker_memo
 
 #: Coordinates and bands: a pair at the bound of 0.75 shares no band with probability (1 - 0.75^4)^32, about 5 in a million.
 T, BANDS = 128, 32
@@ -53,9 +52,8 @@ class WordHashes(dict):
         return h
 
 
-@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_memo("word hashes", WordHashes)
 
 
 def shingles(text: str | None) -> np.ndarray:

@@ -6,7 +6,7 @@ agenda, until none is left. Symbols outside the vocabulary fall back to bytes.
 
 No piece of such a vocabulary holds the space mark after another character (checked on loading), so no merge crosses
 the start of a run of space marks, and texts are encoded run by run ("words"). A worker keeps the ids of short words
-it has met, up to MEMO entries. Words new to a worker are encoded by the agenda and, in the same Arrow batch, by the
+it has met, up to MEMO entries, and forgets them when another operator begins in it. Words new to a worker are encoded by the agenda and, in the same Arrow batch, by the
 sentencepiece library; a difference is an error. Memory is bounded by one Arrow batch and the memo.
 """
 
@@ -20,13 +20,13 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inferweave.llm.common import release_memory, rows_of, ship_package, table
+from inferweave.llm.common import release_memory, rows_of, ship_package, table, worker_memo
 
 SPACE = "▁"
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Words of at most so many characters keep their agenda as a list.
 SHORT, NEVER = 28, 1 << 60
-#: A worker's memo: so many words of at most so many characters.
+#: A worker's memo: so many words of at most so many characters, at most some 250 bytes each.
 MEMO, LONG = 600_000, 48
 
 
@@ -201,14 +201,15 @@ def load_model(path: str) -> MergeModel:
     return MergeModel(path)
 
 
-@functools.lru_cache(maxsize=2)
 def worker_encoder(path: str) -> WordEncoder:
     """The encoder of this Python worker; its memo serves all tasks that the worker runs."""
-    return WordEncoder(load_model(path))
+    return worker_memo(("sentencepiece", path), lambda: WordEncoder(MergeModel(path)))
 
 
 class WordEncoder:
-    """Encodes words, each new one by the agenda and checked against the library. An entry: ids as text, decoded text.
+    """Encodes words, each new one by the agenda and checked against the library.
+
+    An entry is the ids as text, with the decoded text beside it if that isn't the word with spaces for its marks.
 
     The memo has two generations: when the young one is full it becomes the old one, so that frequent words stay.
     """
@@ -216,10 +217,10 @@ class WordEncoder:
     def __init__(self, model: MergeModel):
         self.model = model
         self.names = [str(i) for i in range(len(model.pieces))]
-        self.young: dict[str, tuple[str, str]] = {}
-        self.old: dict[str, tuple[str, str]] = {}
+        self.young: dict[str, str | tuple[str, str]] = {}
+        self.old: dict[str, str | tuple[str, str]] = {}
 
-    def learn(self, words: list[str]) -> dict[str, tuple[str, str]]:
+    def learn(self, words: list[str]) -> dict[str, str | tuple[str, str]]:
         """Entries of words, all new."""
         model, out, names = self.model, {}, self.names
         theirs = model.library.encode([w[1:].replace(SPACE, " ") for w in words], num_threads=1) if words else []
@@ -228,7 +229,8 @@ class WordEncoder:
             if ids != other and (len(w) > 1 or other):  # the library gives nothing for an empty text
                 raise ValueError(f"the agenda and the library differ on {w[:80]!r}")
             # The decoder drops one space mark at the start; a mark put in front keeps the word's own.
-            out[w] = (",".join([names[x] for x in ids]), model.decode([model.ids[SPACE], *ids]))
+            joined, decoded = ",".join([names[x] for x in ids]), model.decode([model.ids[SPACE], *ids])
+            out[w] = joined if decoded == w.replace(SPACE, " ") else (joined, decoded)
         return out
 
     def encode_chunk(self, texts: list[str | None]) -> list[tuple[int, str, str]]:
@@ -245,13 +247,14 @@ class WordEncoder:
             self.old, self.young = young, {}
         self.young.update((w, e) for w, e in late.items() if len(w) <= LONG)
         out = []
-        for words in split:
-            if words:
-                ids, decoded = zip(*map(entries.__getitem__, words), strict=True)
-                joined = ",".join(ids)
-                out.append((joined.count(",") + 1, joined, "".join(decoded)[1:]))
-            else:
-                out.append((0, "", ""))
+        for words, text in zip(split, texts, strict=True):
+            found = [entries[w] for w in words]
+            try:
+                joined, decoded = ",".join(found), text.replace(SPACE, " ") if words else ""
+            except TypeError:  # some words aren't decoded to themselves
+                pairs = [(e, w.replace(SPACE, " ")) if isinstance(e, str) else e for w, e in zip(words, found, strict=True)]
+                joined, decoded = ",".join(p[0] for p in pairs), "".join(p[1] for p in pairs)[1:]
+            out.append((joined.count(",") + 1 if words else 0, joined, decoded))
         return out
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from inferweave.llm.common import materialize, release_memory, rows_of, ship_package, table
+from inferweave.llm.common import materialize, release_memory, rows_of, ship_package, table, worker_memo
 
 #: Documents that the logistic weights are fitted on.
 MAX_LABELLED = 200_000
@@ -248,16 +248,10 @@ class Scorer(dict):
         return math.log1p(n), (sum(hits) / n if n else 0.0), max(hits, default=0.0), math.log1p(100.0 * n / max(1, len(tokens))), math.log1p(sum(w >= STRONG for w in hits))
 
 
-SCORERS: dict[bytes, Scorer] = {}
-
-
 def worker_scorer(model: np.ndarray, lexicon: dict[str, float], weights: np.ndarray) -> Scorer:
     """The scorer of this Python worker; what it remembers serves all tasks that the worker runs with this model."""
-    key = weights.tobytes() + model.tobytes()[:4096] + str(len(lexicon)).encode()
-    if key not in SCORERS:
-        SCORERS.clear()
-        SCORERS[key] = Scorer(model, lexicon)
-    return SCORERS[key]
+    key = ("scorer", weights.tobytes(), model.tobytes()[:4096], len(lexicon))
+    return worker_memo(key, lambda: Scorer(model, lexicon))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarray:
