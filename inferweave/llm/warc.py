@@ -1,8 +1,10 @@
 """Dictionary-compressed WARC archives.
 
 Every archive begins with a skippable frame that holds a Zstandard dictionary, trained on the first records of that
-archive (SAMPLE_RECORDS or SAMPLE_BYTES of them at most, so memory is bounded); then each record is one frame of its
-own, compressed with the dictionary, so that any record can be read alone. Archives are written straight to the shared
+archive (SAMPLE_RECORDS or SAMPLE_BYTES of them at most, and of each at most SAMPLE_PART bytes, so memory is bounded);
+then each record is one frame of its own, compressed with the dictionary, so that any record can be read alone, at the
+offset that the reader gives. Where the records are too few to train on, pieces of them are trained on, and where even
+that is too little, the records' beginnings are the dictionary's content as they are. Archives are written straight to the shared
 folder under names that hold the task attempt, and a manifest of the attempts that succeeded says which files count:
 tasks can be repeated at any time.
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import struct
 import uuid
 from collections.abc import Iterator
@@ -20,15 +23,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferweave.llm.common import fresh_path, local_path, materialize, rows_of, ship_package, table
+from inferweave.llm.common import fresh_path, joined, local_path, materialize, rows_of, ship_package, table
 
 MIN_REVISIT = 1000
 #: Bytes of compressed records after which a task begins another archive.
 ARCHIVE_BYTES = 128 << 20
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 400, 2 << 20, 64 << 10
+SAMPLE_RECORDS, SAMPLE_BYTES, SAMPLE_PART, DICTIONARY_BYTES = 400, 2 << 20, 128 << 10, 64 << 10
 LEVEL = 3
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
-SALTS = 16
+#: A payload that at least so many pages share is joined by broadcast; above SHARES x HEAVY pages, one that a SHARES-th of them share.
+HEAVY, SHARES = 2000, 10_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages carry no time of their own.
 DATE = "1970-01-01T00:00:00Z"
@@ -72,6 +76,20 @@ def parse_record(record: bytes) -> tuple[dict[str, str], bytes]:
     return headers, rest[:n]
 
 
+def learn_dictionary(records: list[bytes]):
+    """A Zstandard dictionary for records like these, which are one or more."""
+    import zstandard
+
+    sample = [r[:SAMPLE_PART] for r in records]
+    for part, size in ((None, DICTIONARY_BYTES), (256, DICTIONARY_BYTES), (256, 8 << 10), (64, 1 << 10)):
+        pieces = sample if part is None else [r[i : i + part] for r in sample for i in range(0, len(r), part)]
+        try:
+            return zstandard.train_dictionary(size, pieces, k=256 if part is None else 32, d=8)
+        except zstandard.ZstdError:  # too few samples for this size
+            continue
+    return zstandard.ZstdCompressionDict(b"".join(sample)[:DICTIONARY_BYTES], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+
+
 class ArchiveWriter:
     """Writes records to a stream, the dictionary first."""
 
@@ -96,14 +114,9 @@ class ArchiveWriter:
     def _begin(self) -> None:
         import zstandard
 
-        dictionary = None
-        try:
-            dictionary = zstandard.train_dictionary(DICTIONARY_BYTES, [r[: 128 << 10] for r in self.waiting], k=256, d=8)
-        except zstandard.ZstdError:  # too few records to learn from: the archive has no dictionary
-            pass
-        if dictionary:
-            data = dictionary.as_bytes()
-            self._put(struct.pack("<II", SKIPPABLE, len(data)) + data)
+        dictionary = learn_dictionary(self.waiting)
+        data = dictionary.as_bytes()
+        self._put(struct.pack("<II", SKIPPABLE, len(data)) + data)
         self.compressor = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_checksum=True)
         for record in self.waiting:
             self._put(self.compressor.compress(record))
@@ -146,6 +159,25 @@ def read_frames(stream) -> Iterator[tuple[int, bytes]]:
         at += len(frame)
 
 
+def read_record(stream, offset: int) -> bytes:
+    """The one record at an offset of a seekable archive: nothing is read but the dictionary and that record's frame."""
+    (magic, n) = struct.unpack("<II", stream.read(8))
+    dictionary = struct.pack("<II", magic, n) + stream.read(n)
+    stream.seek(offset)
+    return next(read_frames(_Joined(dictionary, stream)))[1]
+
+
+class _Joined:
+    """Some bytes and then a stream."""
+
+    def __init__(self, first: bytes, stream):
+        self.first, self.stream = io.BytesIO(first), stream
+
+    def read(self, n: int) -> bytes:
+        out = self.first.read(n)
+        return out if out or not n else self.stream.read(n)
+
+
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Writes pages (page_id, url, html, refers_to) to archives in folder; the manifest: archive, records, bytes."""
     ship_package(pages.sparkSession)
@@ -162,7 +194,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             for page_id, url, html, refers_to in zip(*columns, strict=True):
                 if writer is None:
                     name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(done)}-{uuid.uuid4().hex[:8]}.warc.zst"
-                    writer = ArchiveWriter(system.open_output_stream(f"{base}/{name}"))
+                    # the records are compressed already; by its name alone the file would be compressed once more
+                    writer = ArchiveWriter(system.open_output_stream(f"{base}/{name}", compression=None))
                 payload = (html or "").encode("utf-8")
                 writer.add(build_record(page_id, url, payload, hashlib.sha1(payload).hexdigest(), len(payload), refers_to))
                 if writer.written >= ARCHIVE_BYTES:
@@ -185,7 +218,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 
     def rows(uri: str) -> Iterator[tuple]:
         system, path = local_path(uri)
-        with system.open_input_stream(path, buffer_size=1 << 20) as stream:
+        with system.open_input_stream(path, compression=None, buffer_size=1 << 20) as stream:
             for offset, record in read_frames(stream):
                 headers, block = parse_record(record)
                 digest = base64.b32decode(headers["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
@@ -223,19 +256,30 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def with_revisits(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html) with refers_to: the largest page_id of equal payloads of MIN_REVISIT bytes or more, null for that page itself.
 
-    Only payloads that occur twice or more are joined, by digest and a salt, so that a payload which a third of all
-    pages share is spread over tasks.
+    Only payloads that occur twice or more are joined, by digest. Those that very many pages share are broadcast
+    (SHARES entries at most), so that no task gets all of their pages.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("_sha"), F.octet_length(payload).alias("_n"))
     repeated = keyed.where(F.col("_n") >= MIN_REVISIT).groupBy("_sha").agg(F.max("page_id").alias("_keeper"), F.count("*").alias("_m")).where("_m > 1")
-    salted = repeated.select("_sha", "_keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    out = keyed.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(salted, ["_sha", "_salt"], "left")
+    repeated = materialize(repeated, "repeated")
+    heavy = max(HEAVY, (repeated.agg(F.sum("_m")).first()[0] or 0) // SHARES)
+    out = joined(keyed, repeated.withColumnRenamed("_m", "rows"), ["_sha"], ["page_id", "url"], "left", heavy)
     return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("_keeper")), F.col("_keeper")).alias("refers_to"))
 
 
+def checked_revisits(records: DataFrame) -> DataFrame:
+    """records (of read_archives) if every revisit has the length and digest of a response that it refers to; else it is an error."""
+    key = ["payload_bytes", "payload_digest"]
+    claimed = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), *key).distinct()
+    held = records.where("record_type = 'response'").select("page_id", *key)
+    if lost := claimed.join(held, ["page_id", *key], "left_anti").take(1):
+        raise ValueError(f"a revisit refers to {lost[0].page_id}, which has no response with its digest")
+    return records
+
+
 def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
-    """Writes pages to archives and reads these back: a row per page.
+    """Writes pages to archives and reads these back, payloads checked against digests and revisits against what they refer to: a row per page.
 
     Null html is the empty payload. Rows that repeat a page_id are records of their own; where they hold the largest
     page_id of their payload, each is a response. A null page_id is less than any other and refers to the largest like
@@ -243,7 +287,7 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
     no archives and no rows.
     """
     folder = folder or fresh_path(pages.sparkSession, "warc")
-    return read_archives(write_archives(with_revisits(pages), folder))
+    return checked_revisits(materialize(read_archives(write_archives(with_revisits(pages), folder)), "records"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
