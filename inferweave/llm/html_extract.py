@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,9 @@ from inferweave.llm.common import joined, materialize, rows_of, ship_package, ta
 KEEP, GAMMA, LEAST = 0.3, 0.9, 5
 #: Pages with styles and texts of their own that an article or main element counts for, at each node in it.
 PRIOR = 50
-#: What so many rows share (a node of the tree, a page's copies) is joined by broadcast, so that no task gets all of them.
-HEAVY = 2000
+#: What so many rows share (a node of the tree, a page's copies) is joined by broadcast, so that no task gets all of them;
+#: above SHARES x HEAVY rows, what a SHARES-th of them share, so that at most SHARES entries are broadcast.
+HEAVY, SHARES = 2000, 10_000
 #: Element names and words of class, id or role with a meaning (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -47,16 +49,23 @@ WORDS = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("tag", "kids", "words", "attrs")
+    __slots__ = ("tag", "kids", "words", "attrs", "blocky")
 
     def __init__(self, tag: str, words: frozenset[str] = frozenset(), attrs: str = ""):
         self.tag, self.kids, self.words, self.attrs = tag, [], words, attrs
+        self.blocky = False  # whether a block stands somewhere in it
 
 
 def parse(source: str) -> Node:
-    """A DOM of the elements and texts (still with their references); end tags that HTML implies are added."""
+    """A DOM of the elements and texts (still with their references); end tags that HTML implies are added. Any depth is read."""
     root = Node("#root")
     stack, at, end = [root], 0, len(source)
+    open_ = Counter()
+
+    def close_from(i: int) -> None:
+        open_.subtract(n.tag for n in stack[i:])
+        del stack[i:]
+
     while at < end:
         m = TOKEN.search(source, at)
         if m is None:
@@ -70,22 +79,20 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if close:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    del stack[i:]
-                    break
+            if open_[name] > 0:
+                close_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name))
             continue
-        if name in ENDS_P:
+        if name in ENDS_P and open_["p"] > 0:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close_from(i)
                     break
                 if stack[i].tag in BLOCK and stack[i].tag != "p":
                     break
-        if name in SIBLINGS:
+        if name in SIBLINGS and any(open_[t] > 0 for t in SIBLINGS[name]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SIBLINGS[name]:
-                    del stack[i:]
+                    close_from(i)
                     if name not in ("tr", "tbody", "tfoot"):
                         break
                 elif stack[i].tag in BOUNDS:
@@ -99,11 +106,17 @@ def parse(source: str) -> Node:
                 words |= {"#hidden"}
         node = Node(name, words, attrs)
         stack[-1].kids.append(node)
+        if name in BLOCK:
+            for n in reversed(stack):
+                if n.blocky:
+                    break  # and so are those around it
+                n.blocky = True
         if name in RAW:
             tail = re.compile(f"</{re.escape(name)}\\b[^>]*(?:>|\\Z)", re.I).search(source, at)
             at = tail.end() if tail else end
         elif name not in VOID and not rest.endswith("/"):
             stack.append(node)
+            open_[name] += 1
     return root
 
 
@@ -126,23 +139,18 @@ def clean(text: str) -> str:
     return " ".join(html_lib.unescape(text).split())
 
 
-def has_blocks(n: Node) -> bool:
-    return any(isinstance(k, Node) and (k.tag in BLOCK or has_blocks(k)) for k in n.kids)
-
-
 def inner_text(n: Node) -> str:
-    out = []
-
-    def walk(x):
-        for k in x.kids:
-            if isinstance(k, str):
-                out.append(k)
-            elif k.tag == "br":
-                out.append(" ")
-            elif k.tag not in NEVER:
-                walk(k)
-
-    walk(n)
+    out, todo = [], [iter(n.kids)]
+    while todo:
+        k = next(todo[-1], None)
+        if k is None:
+            todo.pop()
+        elif isinstance(k, str):
+            out.append(k)
+        elif k.tag == "br":
+            out.append(" ")
+        elif k.tag not in NEVER:
+            todo.append(iter(k.kids))
     return "".join(out)
 
 
@@ -153,75 +161,72 @@ class Styled:
 
 
 def styled(root: Node) -> list[Styled]:
-    """The block branches of a page that meaning doesn't settle: noise is left out."""
+    """The block branches of a page that meaning doesn't settle (noise is left out): the root's first, each before what is below it."""
     import xxhash
 
     h = lambda *x: xxhash.xxh64_intdigest("\0".join(map(str, x))) - (1 << 63)
 
-    def walk(n: Node, place: int, inside: bool) -> Styled:
+    def begun(n: Node, place: int, inside: bool) -> Styled:
         s = Styled()
         s.node, s.place, s.inside, s.kids = n, place, inside, []
-        blocks = [k for k in n.kids if isinstance(k, Node) and (k.tag in BLOCK or has_blocks(k))]
+        return s
+
+    out = [begun(root, 0, False)]
+    for s in out:  # grows
+        blocks = [k for k in s.node.kids if isinstance(k, Node) and (k.tag in BLOCK or k.blocky)]
         s.leaf = not blocks
         if s.leaf:
-            s.value = h(clean(inner_text(n)))
-            return s
+            s.value = h(clean(inner_text(s.node)))
+            continue
         s.value = h(*(f"{k.tag}.{k.attrs}" for k in blocks))
         for i, k in enumerate(blocks):
-            if not is_noise(k, inside):
-                within = inside or is_landmark(k)
-                s.kids.append(walk(k, h(place, s.value, i, k.tag, *(["in"] if within else [])), within))
-        return s
-
-    return [walk(root, 0, False)]
+            if not is_noise(k, s.inside):
+                within = s.inside or is_landmark(k)
+                s.kids.append(begun(k, h(s.place, s.value, i, k.tag, *(["in"] if within else [])), within))
+        out += s.kids
+    return out
 
 
 def observations(root: Node):
     """Every (place, leaf, inside, value) of a page."""
-    todo = styled(root)
-    while todo:
-        s = todo.pop()
+    for s in styled(root):
         yield s.place, s.leaf, s.inside, s.value
-        todo += s.kids
 
 
 def low_branches(root: Node, known: dict[int, tuple[float, int]]) -> set[int]:
     """ids of the nodes whose composite importance is under KEEP. known: place -> (presentation importance, styles); place ^ value -> content importance."""
     low: set[int] = set()
-
-    def importance(s: Styled) -> float:
+    importance: dict[int, float] = {}
+    for s in reversed(styled(root)):  # what is below comes first
         if s.leaf:
             out = known.get(s.place ^ s.value, (1.0, 0))[0]
-        else:
-            below = [importance(k) for k in s.kids]
-            if not below:
-                return 1.0
+        elif s.kids:
             own, styles = known.get(s.place, (1.0, 1))
             share = GAMMA**styles
-            out = (1 - share) * own + share * sum(below) / len(below)
+            out = (1 - share) * own + share * sum(importance[id(k)] for k in s.kids) / len(s.kids)
+        else:
+            out = 1.0
+        importance[id(s)] = out
         # a branch goes if nothing in it is important
         if out < KEEP and all(id(k.node) in low for k in s.kids):
             low.add(id(s.node))
-        return out
-
-    for s in styled(root):
-        importance(s)
     return low
 
 
-def blocks(root: Node, low: set[int]) -> list[str]:
-    """Blocks of main text in page order."""
-    marked = [False]
-
-    def find(n: Node):
-        for k in n.kids:
+def has_landmark(root: Node) -> bool:
+    todo = [root]
+    while todo:
+        for k in todo.pop().kids:
             if isinstance(k, Node) and not is_noise(k, False):
                 if is_landmark(k):
-                    marked[0] = True
-                    return
-                find(k)
+                    return True
+                todo.append(k)
+    return False
 
-    find(root)
+
+def blocks(root: Node, low: set[int]) -> list[str]:
+    """Blocks of main text in page order."""
+    marked = has_landmark(root)
     out: list[str] = []
     text: list[str] = []
 
@@ -230,23 +235,29 @@ def blocks(root: Node, low: set[int]) -> list[str]:
             out.append(joined)
         text.clear()
 
-    def walk(n: Node, inside: bool):
-        for k in n.kids:
-            if isinstance(k, str):
-                if inside or not marked[0]:
-                    text.append(k)
-            elif k.tag == "br":
-                text.append(" ")
-            elif not is_noise(k, inside) and id(k) not in low:
-                if k.tag in BLOCK:
-                    end()
-                walk(k, inside or is_landmark(k))
-                if k.tag in BLOCK:
-                    end()
-            elif k.tag in BLOCK:
+    todo = [(iter(root.kids), not marked, False)]  # what is left of each open element, whether its text counts and whether it is a block
+    within = [False]
+    while todo:
+        kids, counts, block = todo[-1]
+        k = next(kids, None)
+        if k is None:
+            todo.pop()
+            within.pop()
+            if block:
                 end()
-
-    walk(root, False)
+        elif isinstance(k, str):
+            if counts:
+                text.append(k)
+        elif k.tag == "br":
+            text.append(" ")
+        else:
+            block = k.tag in BLOCK
+            if block:
+                end()
+            if not is_noise(k, within[-1]) and id(k) not in low:
+                inside = within[-1] or is_landmark(k)
+                todo.append((iter(k.kids), inside or not marked, block))
+                within.append(inside)
     end()
     return out
 
@@ -293,7 +304,7 @@ def style_trees(found: DataFrame) -> DataFrame:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for pages (page_id, url, html).
 
-    Null html gives an empty text; pages whose url has no host form one site. Rows may repeat; an empty table gives an
+    Null html gives an empty text; pages whose url has no host form one site; elements may nest to any depth. Rows may repeat; an empty table gives an
     empty table. A task holds one batch of pages, each with the statistics of its own nodes; equal pages of a host
     share them.
     """
@@ -304,11 +315,12 @@ def extract(pages: DataFrame) -> DataFrame:
     # the root's place is 0: a page has it once, whatever its copies
     copies = F.count(F.when(F.col("place") == 0, 1)).alias("n")
     key = F.when(F.col("leaf"), F.col("place").bitwiseXOR(F.col("value"))).otherwise(F.col("place")).alias("key")
-    nodes = joined(found.select("host", "page", "place", key), trees, ["host", "key"], [], "inner")
+    bound = lambda n: max(HEAVY, n // SHARES)
+    nodes = joined(found.select("host", "page", "place", key), trees, ["host", "key"], [], "inner", bound(found.count()))
     known = nodes.groupBy("host", "page", "key", "imp", "styles").agg(copies)
     known = known.groupBy("host", "page").agg(F.collect_list(F.struct("key", "imp", "styles")).alias("known"), F.max("n").alias("rows"))
     known = materialize(known.where(F.exists("known", lambda e: e["styles"] == 0)), "page-trees")
-    rows = joined(pages, known, ["host", "page"], ["page_id", "url"], "left")
+    rows = joined(pages, known, ["host", "page"], ["page_id", "url"], "left", bound(pages.count()))
 
     def run(batches):
         import pyarrow as pa

@@ -78,3 +78,95 @@ def test_one_page_sites_and_odd_rows(spark):
 def test_copies_of_one_page_keep_their_text(spark):
     rows = [(i, "http://c/", "<body><p>the same on all</p></body>") for i in range(20)]
     assert {r.text for r in X.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {"the same on all"}
+
+
+def test_any_depth(spark):
+    deep = "<div>" * 100_000 + "<p>far down</p>" + "</div>" * 100_000
+    rows = [(1, "http://n/", deep), (2, "http://n/", "<b>" * 50_000 + "x" + "</u>" * 50_000)]
+    assert {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: "far down", 2: "x"}
+
+
+def slow_texts(pages):
+    """The definition, page by page: a site's tree with every style and text that stands at a place, entropies of their shares, marks as the operator takes them."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    def block_kids(n):
+        def holds(k):
+            return any(isinstance(x, X.Node) and (x.tag in X.BLOCK or holds(x)) for x in k.kids)
+
+        return [k for k in n.kids if isinstance(k, X.Node) and (k.tag in X.BLOCK or holds(k))]
+
+    def branch(n, path, inside):
+        kids = block_kids(n)
+        style = tuple((k.tag, k.attrs) for k in kids) if kids else X.clean(X.inner_text(n))
+        below = [branch(k, (*path, style, i, k.tag, inside or X.is_landmark(k)), inside or X.is_landmark(k)) for i, k in enumerate(kids) if not X.is_noise(k, inside)]
+        return n, path, not kids, inside, style, below
+
+    seen, roots = defaultdict(Counter), []
+    for host, source in pages:
+        root = X.parse(source)
+        top = branch(root, (host,), False)
+        roots.append((root, top))
+        todo = [top]
+        while todo:
+            _, path, leaf, _, style, below = b = todo.pop()
+            seen[path, leaf][style] += 1
+            todo += below
+
+    def entropy_importance(path, inside, leaf):
+        n, prior = seen[path, leaf], X.PRIOR if inside else 0
+        m = sum(n.values())
+        if m < X.LEAST:
+            return None
+        shares = [c / (m + prior) for c in n.values()] + [1 / (m + prior)] * prior
+        return -sum(p * log(p) for p in shares) / log(m + prior)
+
+    def importance(b, low):
+        n, path, leaf, inside, style, below = b
+        m, prior = sum(seen[path, leaf].values()), X.PRIOR if inside else 0
+        if leaf:
+            shared = seen[path, leaf][style]
+            out = 1.0 if m < X.LEAST or shared < 2 else 1 - log(shared) / log(m + prior)
+            out = out if out < X.KEEP else 1.0
+        elif not below:
+            out = 1.0
+        else:
+            under = [importance(k, low) for k in below]
+            own = entropy_importance(path, inside, leaf)
+            share = X.GAMMA ** (1 if own is None else len(seen[path, leaf]))
+            out = (1 - share) * (1.0 if own is None else own) + share * sum(under) / len(under)
+        if out < X.KEEP and all(id(k[0]) in low for k in below):
+            low.add(id(n))
+        return out
+
+    out = []
+    for root, top in roots:
+        low = set()
+        importance(top, low)
+        out.append("\n\n".join(X.blocks(root, low) or X.blocks(root, set())))
+    return out
+
+
+def test_against_a_slow_style_tree(spark):
+    import random
+
+    r = random.Random(11)
+    shared = [f"<p>shared {i} on many pages</p>" for i in range(6)]
+
+    def tree(depth):
+        if depth == 0 or r.random() < 0.3:
+            return r.choice(shared) if r.random() < 0.6 else f"<p>own {r.randint(0, 10**6)}</p>"
+        tag = r.choice(["div", "section", "ul><li", "div class=x", "article", "footer", "div class=menu"])
+        return f"<{tag}>" + "".join(tree(depth - 1) for _ in range(r.randint(1, 3))) + f"</{tag.split()[0].split('>')[0]}>"
+
+    sites = [(f"h{i}", [tree(3) if r.random() < 0.15 else None for _ in range(n)]) for i, n in enumerate((40, 25, 3))]
+    pages = []
+    for host, parts in sites:
+        fixed = f"<div><p>Top of {host}</p>{shared[0]}</div>", f"<div>{shared[1]}<p>Made by {host}</p></div>"
+        pages += [(host, f"<html><body>{fixed[0]}<div>{part or '<p>only %d</p>' % r.randint(0, 10**6)}</div>{fixed[1]}</body></html>") for part in parts]
+    rows = [(i, f"http://{host}/{i}", source) for i, (host, source) in enumerate(pages)]
+    got = {x.page_id: x.text for x in X.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    want = slow_texts(pages)
+    assert [got[i] for i in range(len(rows))] == want
+    assert sum(w != X.main_text(source, {}) for w, (_, source) in zip(want, pages, strict=True)) > len(pages) // 2  # the tree decides
