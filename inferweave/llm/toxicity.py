@@ -1,10 +1,10 @@
 """Toxicity scoring of deobfuscated text.
 
 Obfuscation is taken as a noisy channel: a writer meant letters and sent look-alike signs, repeated letters, separated
-letters or masked ones. What was meant is the best path through a lattice of the letters that each sign may stand for,
-under a character language model (trigrams counted over the whole corpus) and the channel's costs: Viterbi decoding.
-Words without such signs have a single path and are left as they are, so only the others are decoded; a worker
-remembers up to MEMO words.
+letters or masked ones, or all of these at once. What was meant is the best path through one lattice of the letters that
+each run of a sign may stand for, under a character language model (trigrams of letters, counted over the whole corpus)
+and the channel's costs: Viterbi decoding. Words without such signs have a single path and are left as they are, so only
+the others are decoded; a worker remembers up to MEMO words.
 
 Restored words are scored by a lexicon of words and word beginnings that are much more frequent in lines of documents
 labelled toxic (log-likelihood ratio of at least EVIDENCE), and a logistic model turns a document's evidence into a
@@ -14,6 +14,7 @@ logistic weights are fitted on about MAX_LABELLED labelled documents at most, ta
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections import Counter
@@ -40,24 +41,40 @@ MEMO = 150_000
 #: Letters that a sign may stand for (fixed values). A star masks any letter.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-A = 28  # boundary, a to z, any other letter
+#: Classes of characters: boundary, a to z, each letter from ß to ÿ, any other letter.
+LATIN, A = 0xDF, 61
+#: Code points from here on all count as other letters.
+TABLE = 0x3000
+#: What a decoded letter earns, about what the language model charges for one: else the shortest reading would win.
+BONUS = 2.0
 TRAILING = re.compile(r"""(?:([%$#&*!?~=+])\1\1+|[.,;:!?"')\]}>»”’*%#&…-])+$""")
 LEADING = re.compile(r"""^["'(\[{<«“‘*#%&¿¡-]+""")
-RUN = re.compile(r"([^\W\d_])\1\1")
 SIGN = re.compile(r"[^\W\d_].*[^a-zA-ZÀ-ɏ]|[^a-zA-ZÀ-ɏ].*[^\W\d_]")
-SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]{1,2}){2,}[^\W\d_](?!\S)")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+#: Three or more letters, or signs that may stand for letters, each repeated or not, with separators between them.
+ONE = r"[^\W_]|[@$!|+(€]"
+SPACED = re.compile(rf"""(?<!\S)(?:(?:({ONE}|\*)\1*[ .\-_]{{1,2}}){{2,}}({ONE}|\*)\2*|(?:({ONE})\3*\*){{2,}}({ONE})\4*)(?![^\s.,;:?!"')\]}}])""")
 
 
 def char_class(c: str) -> int:
-    return ord(c) - 96 if "a" <= c <= "z" else 0 if not c.isalpha() else 27
+    if "a" <= c <= "z":
+        return ord(c) - 96
+    if ord(c) >= TABLE:
+        return A - 1
+    return 0 if not c.isalpha() else 27 + ord(c) - LATIN if LATIN <= ord(c) <= 0xFF else A - 1
 
 
-def byte_classes() -> np.ndarray:
-    out = np.zeros(256, np.int64)
-    for upper in (0, 32):
-        out[65 + upper : 91 + upper] = np.arange(1, 27)
-    out[128:] = 27
-    return out
+@functools.lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """The class of each code point under TABLE, upper case as lower case, and then that of all others."""
+    return np.array([char_class(chr(i).lower()[0]) for i in range(TABLE + 1)], np.int64)
+
+
+def class_trigrams(texts: list[str]) -> np.ndarray:
+    """Counts of the A^3 trigrams of character classes, with two boundaries around each text."""
+    data = np.frombuffer(("  " + "  ".join(texts) + "  ").encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = classes()[np.minimum(data, TABLE)]
+    return np.bincount((c[:-2] * A + c[1:-1]) * A + c[2:], minlength=A**3)
 
 
 def trigram_counts(docs: DataFrame) -> np.ndarray:
@@ -66,12 +83,10 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        classes, total = byte_classes(), np.zeros(A**3, np.int64)
+        total = np.zeros(A**3, np.int64)
         for (texts,) in rows_of(batches, "text"):
             for k in range(0, len(texts), 64):
-                data = np.frombuffer(("  " + "  ".join(t or "" for t in texts[k : k + 64]) + "  ").encode("utf-8", "replace"), np.uint8)
-                c = classes[data]
-                total += np.bincount((c[:-2] * A + c[1:-1]) * A + c[2:], minlength=A**3)
+                total += class_trigrams([t or "" for t in texts[k : k + 64]])
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["gram", "n"])
 
@@ -95,34 +110,48 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def run_arcs(c: str, n: int, inside: bool) -> list[list[tuple[str, float]]]:
+    """What n times the sign c may have meant, with the channel's log cost. inside: letters or signs stand on both sides."""
+    one, two = {1: (0.0, None), 2: (-4.0, 0.0)}.get(n, (-0.7, -0.7))  # costs of meaning one and two of a letter
+    if c.isalpha():
+        meant, cost, drop = c, 0.0, None
+    elif c == "*":
+        drop = -4.0 if inside else -2.0
+        return [[(x, BONUS - math.log(26.0)) for x in LETTERS] + [("", drop)]] * min(n, 2)
+    elif c in LOOKALIKES:
+        meant = LOOKALIKES[c]
+        cost, drop = -0.2 - math.log(len(meant)), None if c.isdigit() else -6.0 if inside else -1.0 if n > 1 else -2.5
+    else:
+        return [[("", -0.2)]]
+    arcs = [(x, one + cost + BONUS) for x in meant]
+    if two is not None:
+        arcs += [(x + x, two + cost + 2 * BONUS) for x in meant]
+    return [arcs if drop is None else [*arcs, ("", drop)]]
+
+
 def lattice(word: str) -> list[list[tuple[str, float]]]:
-    """For each sign or run of signs: what may have been meant, with the channel's log cost."""
+    """For each run of a sign: what may have been meant, with the channel's log cost."""
     out, i, word = [], 0, word.lower()
     while i < len(word):
-        c, j = word[i], i
-        while j < len(word) and word[j] == c:
+        j = i
+        while j < len(word) and word[j] == word[i]:
             j += 1
-        n = j - i
-        if c.isalpha():
-            out.append([(c * n, 0.0)] if n < 3 else [(c, -0.7), (c + c, -0.7)])
-        elif c in LOOKALIKES:
-            arcs = [(x, -0.2 - math.log(len(LOOKALIKES[c]))) for x in LOOKALIKES[c]]
-            if not c.isdigit():
-                arcs.append(("", -2.5))
-            out += [arcs] * min(n, 2)
-        elif c == "*":
-            out += [[(x, -math.log(26.0)) for x in LETTERS] + [("", -2.0)]] * min(n, 2)
-        elif c.isdigit():
-            out.append([(c, 0.0)])
-        else:
-            out.append([("", -0.2)])
+        out += run_arcs(word[i], j - i, 0 < i and j < len(word))
         i = j
     return out
 
 
-def spaced_lattice(letters: str) -> list[list[tuple[str, float]]]:
-    """Letters that were sent one by one; a word may end after each."""
-    return [[(c, 0.0), (c + " ", -1.5)] for c in letters.lower()]
+def spaced_lattice(units: list[str]) -> list[list[tuple[str, float]]]:
+    """Runs of signs that were sent one by one: each like a run within a word, and a word may end after it."""
+    out = []
+    for u in units:
+        *most, last = lattice(f"x{u}x")[1:-1]
+        out += [*most, [*last, *((t + " ", cost - 1.5) for t, cost in last)]]
+    return out
+
+
+def units_of(spaced: re.Match) -> list[str]:
+    return [u for u in re.split(r"[ .\-_]+" if spaced[3] is None else r"\*", spaced[0]) if u]
 
 
 def decode(arcs: list[list[tuple[str, float]]], model: np.ndarray) -> str:
@@ -160,22 +189,26 @@ class Restorer:
         low = word.lower()
         if not low:
             return []
-        if low.isalpha() and not RUN.search(low):
+        if low.isalpha() and not DOUBLE.search(low):
             return [low]
         inner = LEADING.sub("", token).rstrip(".,;:?\"')]}>")
         out = [low]
         for w in {word, inner}:
-            if RUN.search(w.lower()) or SIGN.search(w):
+            if DOUBLE.search(w.lower()) or SIGN.search(w):
                 out += decode(lattice(w), self.model).split()
         return list(dict.fromkeys(out))
 
+    def join(self, spaced: re.Match) -> str:
+        """What a match of SPACED means; runs of signs without a letter stay as they are."""
+        return decode(spaced_lattice(units_of(spaced)), self.model) if any(c.isalpha() for c in spaced[0]) else spaced[0]
+
     def spaced(self, text: str) -> Iterator[str]:
         for m in SPACED.finditer(text):
-            yield from decode(spaced_lattice("".join(c for c in m[0] if c.isalpha())), self.model).split()
+            yield from self.join(m).split()
 
     def restore(self, text: str) -> str:
         """A text with every obfuscated span replaced by what was meant."""
-        text = SPACED.sub(lambda m: decode(spaced_lattice("".join(c for c in m[0] if c.isalpha())), self.model), text)
+        text = SPACED.sub(self.join, text)
         return re.sub(r"\S+", lambda m: self.words(m[0])[-1] if self.words(m[0])[1:] else m[0], text)
 
 
@@ -304,16 +337,19 @@ def held_out_rows(doc_id: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     """Fits on the documents (doc_id, text) that labels (doc_id, toxic) cover and that aren't held out.
 
-    Rows without text, id or label teach nothing. Without labels of both kinds every score is 0.
+    Rows without text, id or label teach nothing. A document that has several labels is toxic if one says so. Where no
+    word tells the classes apart, as with labels of one kind or none, every text gets the share of toxic labels (counted
+    with a tenth of one in one more), so above 0.5 if nearly all are.
     """
     ship_package(docs.sparkSession)
     model = log_model(trigram_counts(docs))
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out_rows(F.col("doc_id"))).dropDuplicates(["doc_id"])
-    n = known.count()
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
     labelled = lambda ids, few: docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
     lexicon = learn_lexicon(labelled(known, n <= BROADCAST_IDS), model)
     if not lexicon:
-        return Toxicity(model, {}, np.array([-30.0] + [0.0] * SIGNS))
+        share = (n_toxic + 0.1) / (n + 1)
+        return Toxicity(model, {}, np.array([math.log(share / (1 - share))] + [0.0] * SIGNS))
     if n > MAX_LABELLED:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
     rows = labelled(known, True)  # about MAX_LABELLED ids at most

@@ -25,11 +25,10 @@ def labelled(documents, spark, n=400, seed=1):
 @pytest.fixture(scope="module")
 def model():
     text = " ".join(WORDS * 50 + ["idiot", "moron", "pathetic", "stupid"] * 5)
-    c = X.byte_classes()[np.frombuffer(("  " + text + "  ").encode(), np.uint8)]
-    return X.log_model(np.bincount((c[:-2] * X.A + c[1:-1]) * X.A + c[2:], minlength=X.A**3))
+    return X.log_model(X.class_trigrams([text]))
 
 
-@pytest.mark.parametrize("seen,meant", [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("id!0t", "idiot"), ("idiooooot", "idiot"), ("p4thet1c", "pathetic"), ("st*pid", "stupid"), ("i.d.i.o.t", "idiot"), ("$tupid", "stupid")])
+@pytest.mark.parametrize("seen,meant", [("1d10t", "idiot"), ("m0r0n!!", "moron"), ("id!0t", "idiot"), ("idiooooot", "idiot"), ("p4thet1c", "pathetic"), ("st*pid", "stupid"), ("i.d.i.o.t", "idiot"), ("$tupid", "stupid"), ("id|ot", "idiot"), ("1d1000t", "idiot"), ("iidiioott", "idiot"), ("m00r0nn", "moron")])
 def test_deobfuscation(model, seen, meant):
     assert meant in X.Restorer(model).words(seen)
 
@@ -37,17 +36,24 @@ def test_deobfuscation(model, seen, meant):
 def test_spaced_and_untouched(model):
     r = X.Restorer(model)
     assert list(r.spaced("you i d i o t there")) == ["idiot"] and r.restore("you i d i o t") == "you idiot"
-    for token in ("river", "THE!!", "stones***", "a$$$", "é"):
+    # spacing, look-alikes and repetition at once
+    for seen, meant in (("1 d 1 0 t", "idiot"), ("m 0 r 0 n", "moron"), ("ii d ii o tt.", "idiot."), ("1.d.1.000.t", "idiot"), ("i*d*i*0*t", "idiot"), ("s + u p 1 d!", "stupid!"), ("1 2 3 4", "1 2 3 4")):
+        assert r.restore(seen) == meant
+    for token in ("river", "THE!!", "stones***", "a$$$", "é", "tall", "trees"):
         assert len(r.words(token)) == 1
 
 
 def test_viterbi_finds_the_best_path(model):
     import itertools
 
-    arcs = X.lattice("1d10t")
+    for arcs in (X.lattice("1d10t"), X.lattice("iid||ot"), X.spaced_lattice(["1", "d", "11", "o", "t"])):
+        best_path(model, arcs, itertools)
+
+
+def best_path(model, arcs, itertools):
     score = lambda s: sum(float(model[a, b, c]) for a, b, c in zip([0, 0, *map(X.char_class, s)], [0, *map(X.char_class, s), 0], [*map(X.char_class, s), 0], strict=False))
     paths = [("".join(t for t, _ in p), sum(c for _, c in p)) for p in itertools.product(*arcs)]
-    assert X.decode(arcs, model) == max(paths, key=lambda p: p[1] + score(p[0]))[0]
+    assert X.decode(arcs, model) == max(paths, key=lambda p: p[1] + score(p[0]))[0].strip()
 
 
 def test_held_out_accuracy_and_odd_rows(documents, spark):
@@ -80,3 +86,46 @@ def test_lexicon_counts_all_labelled_documents(documents, spark, monkeypatch):
     assert "=rareinsult" in part.lexicon and part.lexicon == whole.lexicon
     monkeypatch.setattr(X, "BROADCAST_IDS", 10)
     assert X.fit(docs, labels).lexicon == whole.lexicon
+
+
+def test_trigrams_are_of_characters():
+    counts = X.class_trigrams(["Éa ж", "b"]).reshape(X.A, X.A, X.A)
+    e, other = X.char_class("é"), X.char_class("ж")
+    assert e != X.char_class("è") and other == X.A - 1
+    assert counts[0, 0, e] == counts[0, e, 1] == counts[e, 1, 0] == counts[1, 0, other] == counts[0, 0, 2] == 1
+    assert counts.sum() == len("  Éa ж  b  ") - 2
+
+
+def test_labels_of_one_kind_and_clashing_labels(documents, spark):
+    docs = documents([(i, f"word{i} and more") for i in range(30)])
+    for kind in (0, 1):
+        labels = spark.createDataFrame([(i, kind) for i in range(30)], "doc_id long, toxic int")
+        assert {r.predicted for r in X.scored(docs, labels).collect()} == {kind}
+    rows, labels = labelled(documents, spark)
+    twice = labels.union(spark.createDataFrame([(i, 0) for i, _ in rows], labels.schema))  # toxic if one label says so
+    assert X.fit(documents(rows), twice).lexicon == X.fit(documents(rows), labels).lexicon
+
+
+def test_scores_against_their_definition(documents, spark):
+    rows, labels = labelled(documents, spark, 120, 5)
+    rows += [(500, "you 1 d 1 0 t and m0ron"), (501, "idiot " * 40)]
+    fitted = X.fit(documents(rows), labels)
+    got = {r.doc_id: r.score for r in fitted.score(documents(rows), ["doc_id"]).collect()}
+    restorer = X.Restorer(fitted.model)
+    weight = lambda w: max([fitted.lexicon.get("=" + w, 0.0), *(fitted.lexicon.get("^" + w[:n], 0.0) for n in X.PREFIXES if len(w) >= n)])
+    for i, t in rows:
+        tokens = t.split()
+        hits = [max([0.0, *map(weight, restorer.words(w))]) for w in tokens] + [weight(w) for w in restorer.spaced(t)]
+        hits = [h for h in hits if h]
+        n = len(hits)
+        x = [1, np.log1p(n), sum(hits) / n if n else 0, max(hits, default=0), np.log1p(100 * n / len(tokens)), np.log1p(sum(h >= X.STRONG for h in hits))]
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(np.dot(fitted.weights, x), -30, 30)))) < 1e-9
+
+
+def test_logistic_fit_is_at_the_minimum():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 2))
+    y = (r.random(300) < 1 / (1 + np.exp(-(0.5 + x @ [1.5, -2])))).astype(float)
+    loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (w[0] + x @ w[1:])).sum() + 0.5e-4 * len(y) * (w[1:] ** 2).sum()
+    w = X.fit_logistic(x, y)
+    assert all(loss(w) <= loss(w + d) for d in np.eye(3) * 1e-3) and all(loss(w) <= loss(w - d) for d in np.eye(3) * 1e-3)
