@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inferweave.llm.common import rows_of, ship_package, table
+from inferweave.llm.common import materialize, rows_of, ship_package, table
 
 UNIT = 576
 #: Blocks between restart markers: in the scan of the high band, in the others.
@@ -654,5 +654,5 @@ def decode_column(media: DataFrame, tensors: bool = False) -> DataFrame:
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text of documents as a progressive JPEG and back. Null and empty texts are one unit of 255s; rows may repeat."""
-    return decode_column(encode_column(table(spark, sf_dir, "documents")))
+    """Every whole text of documents as a progressive JPEG, written to the shared folder, and back. Null and empty texts are one unit of 255s; rows may repeat."""
+    return decode_column(materialize(encode_column(table(spark, sf_dir, "documents")), "media"))
