@@ -21,7 +21,8 @@ from inferweave.llm.common import WORD, materialize, table
 #: One word of fewer would be too large a part of the line.
 MIN_WORDS = 8
 BLANK = "^[\\x20\\x09-\\x0D]*$"
-#: Up to so many rows are broadcast to filter the documents; above, they are joined by shuffle.
+#: Up to so many lines are broadcast to filter the documents; above, they are joined by shuffle. A line is numbers only,
+#: of about 100 bytes (two keys, its place and id, three flags), so this is 50 MB at most.
 BROADCAST_ROWS = 500_000
 #: Texts of at most so many lines are put together by looking up each line.
 FEW = 500
@@ -136,13 +137,14 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     Lines end at \\n; lines without words always stay, and so does the order. Null text stays null with no lines. Rows
     without doc_id come after all others. Of equal lines in one document the first stays. Rows that agree in doc_id and
-    text are treated alike. An empty table gives an empty table.
+    text are treated alike. An empty table gives an empty table. Other columns may have any names; ones called n_lines or
+    n_kept, in whatever case, are replaced by those made here.
     """
-    clash = {"doc_key", "rid", "keep", "n_lines", "n_kept"} & set(docs.columns)
-    if clash:
-        docs = docs.drop(*clash)
-    keep = kept_lines(docs.select("doc_id", "text"))
-    rows = keyed(docs).join(keep, ["doc_key", "rid"], "left").withColumn("keep", F.coalesce("keep", F.array().cast("array<int>")))
+    # the other columns travel in one struct, so that no name of theirs matters here
+    others = [c for c in docs.columns if c not in ("doc_id", "text") and c.lower() not in ("n_lines", "n_kept")]
+    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("others"))
+    keep = kept_lines(packed.select("doc_id", "text"))
+    rows = keyed(packed).join(keep, ["doc_key", "rid"], "left").withColumn("keep", F.coalesce("keep", F.array().cast("array<int>")))
 
     def rebuilt(lines: Column) -> Column:
         blank = lambda x: x.rlike(BLANK)
@@ -154,8 +156,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         return F.struct(F.when(F.size(lines) <= FEW, few).otherwise(many).alias("text"), counted.alias("n_lines"))
 
     made = F.when(F.col("text").isNotNull(), F.element_at(F.transform(F.array(F.split("text", "\n")), rebuilt), 1))
-    out = rows.withColumn("_made", made).withColumn("text", F.col("_made.text"))
-    return out.select(*docs.columns, F.coalesce("_made.n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.size("keep").cast("bigint").alias("n_kept"))
+    out = rows.withColumn("made", made).withColumn("text", F.col("made.text"))
+    back = [F.col(c) if c in ("doc_id", "text") else F.col(f"others.`{c}`").alias(c) for c in docs.columns if c in ("doc_id", "text", *others)]
+    return out.select(*back, F.coalesce("made.n_lines", F.lit(0)).cast("bigint").alias("n_lines"), F.size("keep").cast("bigint").alias("n_kept"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

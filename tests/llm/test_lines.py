@@ -75,3 +75,14 @@ def test_ids_and_repeats(documents):
     got = L.dedup_lines(documents([(None, "x"), (None, "y"), (4, "x"), (4, "x"), (4, "z")])).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("4", "x"), ("4", "x"), ("4", "z"), ("None", ""), ("None", "y")]
     assert L.dedup_lines(documents([])).count() == 0
+
+
+def test_names_that_clash(spark, documents):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "x\ny"), (2, "y\nz"), (3, None)]
+    docs = documents(rows).select("doc_id", "text", *[F.lit(c).alias(c) for c in ("_made", "made", "a.b", "keep", "rid", "doc_key", "KEEP2", "others", "N_lines", "lang")])
+    got = {r["doc_id"]: r for r in L.dedup_lines(docs).collect()}
+    assert {i: (r["text"], r["n_lines"], r["n_kept"]) for i, r in got.items()} == {1: ("x\ny", 2, 2), 2: ("z", 2, 1), 3: (None, 0, 0)}
+    for r in got.values():
+        assert all(r[c] == c for c in ("_made", "made", "a.b", "keep", "rid", "doc_key", "KEEP2", "others", "lang"))
