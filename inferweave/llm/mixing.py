@@ -1,9 +1,11 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates, those of least relative entropy to the corpus (measured in tokens) that meet a token
-constraint per group are exponential tilts exp(lambda_group * x). The multipliers solve a smooth convex dual, here by
-damped Newton steps: the gradient and the (diagonal) Hessian of all groups come from one distributed aggregation over
-the histogram of sizes, and the multipliers are a table too. The rates are then rounded into whole copies.
+Among all document rates between 0 and a cap, those of least relative entropy to one copy of each document that meet a
+token constraint per group are exponential tilts min(cap, exp(lambda_group * size)): where a group needs more tokens its
+longer documents are repeated first, where it needs fewer they are left out first, and rates depend on the document. The
+multipliers solve a convex dual, here by Newton steps on its logarithm that are kept within the bracket found so far:
+the gradient and the (diagonal) Hessian of all groups come from one distributed aggregation over the histogram of
+sizes, and the multipliers are a table too. The rates are then rounded into whole copies.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from inferweave.llm.common import WORD, lehmer, materialize, table
 
 #: A group's documents are rounded in cells of about so many.
 CELL = 512
+#: Rates are whole multiples of one in so many, so that sums of them are exact.
+UNIT = 1_000_000
 #: Documents of a group whose rounding is changed, one after the other, to bring its tokens nearer to the target.
 FLIPS = 3
 
@@ -41,39 +45,48 @@ def token_targets(groups: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     return leveled.select("grp", "no_grp", "tokens", "docs", F.round(target, 6).alias("target"))
 
 
-def newton_multipliers(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, tilt: Column | None = None, rounds: int = 100, tolerance: float = 1e-11) -> DataFrame:
-    """targets with lam: sum over documents of size * min(cap, exp(lam * x)) equals target for each group.
+def newton_multipliers(sizes: DataFrame, targets: DataFrame, cap: float = 2.0, rounds: int = 200, tolerance: float = 1e-13) -> DataFrame:
+    """targets with lam: the sum over documents of size * min(cap, exp(lam * x)) is target for each group, x being size over the group's mean size.
 
-    sizes: grp, no_grp, size, n (documents of that size). tilt gives x from size (default 1: all documents of a group
-    get one rate). Each round is one aggregation; a step is at most 2 in length, which keeps the iteration convergent
-    from 0. Groups without tokens keep lam 0.
+    sizes: grp, no_grp, size, n (documents of that size); targets: grp, no_grp, tokens, docs, target and any others. lam
+    is null where the target takes cap copies of everything. Each round is one aggregation. A step is Newton's for the
+    logarithm of the sum, without what is capped; where it leaves the bracket of the steps before, the bracket is halved,
+    and while one end is open a step is as long as all before at most. Groups without tokens keep lam 0.
     """
-    x = F.lit(1.0) if tilt is None else tilt
     keys = ["grp", "no_grp"]
-    state = targets.withColumn("lam", F.lit(0.0))
+    full = F.col("target") >= cap * F.col("tokens") * (1 - 1e-12)
+    state = targets.withColumn("lam", F.lit(0.0)).withColumn("lo", F.lit(float("-inf"))).withColumn("hi", F.lit(float("inf"))).withColumn("open", (F.col("tokens") > 0) & ~full)
     for _ in range(rounds):
-        rate = F.least(F.lit(cap * 2), F.exp(F.col("lam") * x))
-        mass = F.col("n") * F.col("size") * rate
-        dual = sizes.join(state.select(*keys, "lam"), keys).groupBy(*keys).agg(F.sum(mass).alias("g"), F.sum(mass * x * x).alias("h"))
-        step = F.when(F.col("h") > 0, (F.col("target") - F.col("g")) / F.col("h")).otherwise(F.lit(0.0))
+        x = F.col("size") * F.col("docs") / F.col("tokens")
+        tilted = F.exp(F.least(F.col("lam") * x, F.lit(50.0)))
+        mass = F.col("n") * F.col("size") * F.least(F.lit(cap), tilted)
+        free = F.when(tilted < cap, F.col("n") * F.col("size") * tilted * x).otherwise(F.lit(0.0))
+        dual = sizes.join(state.where("open").select(*keys, "lam", "docs", "tokens"), keys).groupBy(*keys).agg(F.sum(mass).alias("g"), F.sum(free).alias("h"))
         joined = state.join(dual, keys, "left")
-        state = materialize(
-            joined.select(*targets.columns, (F.col("lam") + F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.coalesce(step, F.lit(0.0))))).alias("lam"), (F.abs(F.col("g") - F.col("target")) / F.greatest(F.col("target"), F.lit(1.0))).alias("gap")),
-            "multipliers",
-        )
-        gap = state.agg(F.max("gap")).first()[0]
-        state = state.drop("gap")
-        if gap is None or gap <= tolerance:
+        gap = F.log(F.col("target")) - F.log("g")
+        joined = joined.withColumn("gap", gap).withColumn("lo", F.when(gap > 0, F.col("lam")).otherwise(F.col("lo"))).withColumn("hi", F.when(gap < 0, F.col("lam")).otherwise(F.col("hi")))
+        reach = F.greatest(F.lit(1.0), F.abs("lam"))
+        step = F.when(F.col("h") > 0, F.greatest(-reach, F.least(reach, F.col("gap") * F.col("g") / F.col("h")))).otherwise(F.signum("gap") * reach)
+        at = F.col("lam") + step
+        outside = (at <= F.col("lo")) | (at >= F.col("hi"))
+        bracketed = (F.col("lo") > float("-inf")) & (F.col("hi") < float("inf"))
+        moved = F.when(outside & bracketed, (F.col("lo") + F.col("hi")) / 2).otherwise(at)
+        done = (F.abs("gap") <= tolerance) | (moved == F.col("lam"))
+        state = joined.select(*targets.columns, F.when(F.col("open") & ~done, moved).otherwise(F.col("lam")).alias("lam"), "lo", "hi", (F.col("open") & ~F.coalesce(done, F.lit(True))).alias("open"))
+        state = materialize(state, "multipliers")
+        if state.where("open").isEmpty():
             break
-    return state
+    else:
+        raise RuntimeError("the multipliers didn't settle")
+    return state.select(*targets.columns, F.when(~full | (F.col("tokens") == 0), F.col("lam")).alias("lam"))
 
 
 def entropy_balance(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (5, 2, 1)) -> DataFrame:
     """docs (doc_id, source, size) with source_size, target, rate, copies, taken.
 
     Each document gets floor(rate) copies and, for the fraction, one more by systematic selection along the sizes
-    within cells of its group, the count carried on from cell to cell; then, FLIPS times, the one document of each
-    group whose change brings the group's tokens nearest to its target is changed. A null source is a group of its own; empty
+    within cells of its group, the sum of the fractions carried on from cell to cell; then, FLIPS times, the one document
+    of each group whose change by a copy brings the group's tokens nearest to its target is changed. A null source is a group of its own; empty
     documents take 0; an empty table gives an empty table; repeated rows are documents of their own. Reruns agree.
     """
     keys = ["grp", "no_grp"]
@@ -83,38 +96,46 @@ def entropy_balance(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     groups = hist.groupBy(*keys).agg(F.sum(F.col("size") * F.col("n")).alias("tokens"), F.sum("n").alias("docs"))
     targets = materialize(token_targets(groups, share, cap, weights), "targets")
     solved = newton_multipliers(hist, targets, cap)
-    rates = solved.withColumn("rate", F.round(F.least(F.lit(cap), F.exp("lam")), 9)).withColumn("whole", F.floor("rate")).withColumn("part", F.round(F.col("rate") - F.col("whole"), 9))
-    rates = materialize(rates.withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("docs") / CELL))), "rates")
+    rates = materialize(solved.withColumn("lam", F.round("lam", 9)).withColumn("cells", F.greatest(F.lit(1), F.ceil(F.col("docs") / CELL)).cast("bigint")), "rates")
 
-    celled = base.join(rates, keys).withColumn("cell", F.pmod("h", F.col("cells")))
+    x = F.col("size") * F.col("docs") / F.col("tokens")
+    units = F.when(F.col("tokens") == 0, F.lit(UNIT)).when(F.col("lam").isNull(), F.lit(int(cap * UNIT))).otherwise(F.round(UNIT * F.least(F.lit(cap), F.exp(F.least(F.col("lam") * x, F.lit(50.0))))))
+    # ids may be null or repeated: the size tells their cells apart
+    celled = base.join(rates, keys).withColumn("cell", F.pmod(F.col("h") + F.col("size") * 7919, F.col("cells"))).withColumn("units", units.cast("bigint"))
+    celled = celled.withColumn("whole", F.floor(F.col("units") / UNIT)).withColumn("part", F.col("units") % UNIT)
     cell_keys = [*keys, "cell"]
     earlier = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = celled.groupBy(*cell_keys).agg(F.count("*").alias("m")).select(*cell_keys, F.coalesce(F.sum("m").over(earlier), F.lit(0)).alias("start"))
-    place = F.col("start") + F.row_number().over(Window.partitionBy(*cell_keys).orderBy("size", "h", "doc_id"))
-    picked = celled.join(starts, cell_keys).withColumn("place", place)
-    extra = F.floor(F.col("part") * F.col("place") + 1e-7) - F.floor(F.col("part") * (F.col("place") - 1) + 1e-7)
-    rounded = materialize(picked.withColumn("extra", extra).select("doc_id", "source", *keys, "h", "size", "tokens", "target", "rate", "whole", "extra", "place"), "rounded")
-
-    change = F.when(F.col("extra") == 1, -F.col("size")).when(F.col("whole") + 1 <= cap, F.col("size"))
+    before = lambda c: F.coalesce(F.sum(c).over(earlier), F.lit(0))
+    starts = celled.groupBy(*cell_keys).agg(F.count("*").alias("m"), F.sum("part").alias("s")).select(*cell_keys, before("m").alias("start"), before("s").alias("part_start"))
+    within = Window.partitionBy(*cell_keys).orderBy("size", "h", "doc_id")
+    picked = celled.join(starts, cell_keys).withColumn("place", F.col("start") + F.row_number().over(within))
+    picked = picked.withColumn("sum_to", F.col("part_start") + F.sum("part").over(within.rowsBetween(Window.unboundedPreceding, 0)))
+    extra = F.floor(F.col("sum_to") / UNIT) - F.floor((F.col("sum_to") - F.col("part")) / UNIT)
+    picked = picked.withColumn("extra", extra).withColumn("rate", F.col("units") / UNIT)
+    rounded = materialize(picked.select("doc_id", "source", *keys, "h", "size", "tokens", "target", "rate", "whole", "extra", "place"), "rounded")
+
+    # a change is a copy more or less of a document; state keeps the places of changed documents, negative for a copy less
     state = rounded.groupBy(*keys).agg(F.max("target").alias("t"), F.sum(F.col("size") * (F.col("whole") + F.col("extra"))).alias("got"))
     state = state.select(*keys, F.round(F.col("t") - F.col("got"), 6).alias("off"), F.array().cast("array<bigint>").alias("flips"))
+    held = F.col("whole") + F.col("extra")
+    ways = F.array(F.when(held >= 1, F.lit(-1)), F.when(held + 1 <= cap, F.lit(1)))
     for _ in range(FLIPS):
-        after = F.round(F.col("off") - F.col("change"), 6)
+        after = F.round(F.col("off") - F.col("way") * F.col("size"), 6)
         best = (
-            rounded.withColumn("change", change)
+            rounded.where("size > 0")
+            .withColumn("way", F.explode(ways))
             .join(state, keys)
-            .where((F.col("size") > 0) & (F.abs(after) < F.abs("off")) & ~F.array_contains("flips", F.col("place")))
+            .where((F.abs(after) < F.abs("off")) & ~F.array_contains("flips", F.col("place")) & ~F.array_contains("flips", -F.col("place")))
             .groupBy(*keys)
-            .agg(F.min(F.struct(F.abs(after).alias("gap"), "place", after.alias("after"))).alias("best"))
+            .agg(F.min(F.struct(F.abs(after).alias("gap"), "place", "way", after.alias("after"))).alias("best"))
         )
         flipped = F.col("best").isNotNull()
         state = materialize(
-            state.join(best, keys, "left").select(*keys, F.when(flipped, F.col("best.after")).otherwise(F.col("off")).alias("off"), F.when(flipped, F.array_append("flips", F.col("best.place"))).otherwise(F.col("flips")).alias("flips")),
+            state.join(best, keys, "left").select(*keys, F.when(flipped, F.col("best.after")).otherwise(F.col("off")).alias("off"), F.when(flipped, F.array_append("flips", F.col("best.place") * F.col("best.way"))).otherwise(F.col("flips")).alias("flips")),
             "flips",
         )
-    changed = state.select(*keys, F.explode("flips").alias("place"), F.lit(1).alias("flipped"))
-    copies = F.col("whole") + F.when(F.col("flipped") == 1, 1 - F.col("extra")).otherwise(F.col("extra"))
-    out = rounded.join(changed, [*keys, "place"], "left").withColumn("copies", copies.cast("bigint"))
+    changed = state.select(*keys, F.explode("flips").alias("flip")).select(*keys, F.abs("flip").alias("place"), F.signum("flip").cast("bigint").alias("way"))
+    out = rounded.join(changed, [*keys, "place"], "left").withColumn("copies", (held + F.coalesce("way", F.lit(0))).cast("bigint"))
     return out.select("doc_id", "source", F.col("size").cast("bigint"), F.col("tokens").cast("bigint").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
 
 
@@ -129,7 +150,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP8_ORACLE = r"""
-WITH base AS (
+WITH RECURSIVE base AS (
   SELECT doc_id, coalesce(source, '') AS grp, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS no_grp,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
          (((coalesce(doc_id, -1) % 2147483647 + 2147483647) % 2147483647) * 48271) % 2147483647 AS h
@@ -141,24 +162,32 @@ l AS (SELECT *, lim / weight AS level_at,
   / sum(weight) OVER (ORDER BY lim / weight, no_grp, grp ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 lv AS (SELECT coalesce(arg_min(level, level_at), 0) AS level FROM l WHERE level <= level_at * (1 + 1e-12)),
 t AS (SELECT grp, no_grp, tokens, docs, round(least(lim, lv.level * weight), 6) AS target FROM l, lv),
-r AS (SELECT *, round(CASE WHEN tokens > 0 THEN least(2.0::DOUBLE, target / tokens) ELSE 1 END, 9) AS rate, greatest(1, ceil(docs / 512.0))::BIGINT AS cells FROM t),
-c AS (SELECT b.*, r.tokens, r.target, floor(r.rate) AS whole, round(r.rate - floor(r.rate), 9) AS part, h % cells AS cell FROM base b JOIN r USING (grp, no_grp)),
-p AS (SELECT *, row_number() OVER (PARTITION BY grp, no_grp ORDER BY cell, size, h, doc_id) AS place FROM c),
-x AS (SELECT *, floor(part * place + 1e-7) - floor(part * (place - 1) + 1e-7) AS extra FROM p),
+hist AS MATERIALIZED (SELECT grp, no_grp, size, size * docs / tokens AS x, count(*) AS n FROM base JOIN t USING (grp, no_grp) WHERE tokens > 0 GROUP BY ALL),
+-- bisection: halving the bracket of every group as often as its numbers have bits
+bi AS (SELECT grp, no_grp, -64.0::DOUBLE * (1 + (SELECT max(docs) FROM t)) AS lo, 64.0::DOUBLE * (1 + (SELECT max(tokens) FROM t)) AS hi, 0 AS k FROM t WHERE tokens > 0 AND target < 2 * tokens * (1 - 1e-12)
+  UNION ALL
+  SELECT grp, no_grp, CASE WHEN g < target THEN mid ELSE lo END, CASE WHEN g < target THEN hi ELSE mid END, k + 1
+  FROM (SELECT grp, no_grp, k, lo, hi, (lo + hi) / 2 AS mid, target,
+               (SELECT sum(n * size * least(2.0::DOUBLE, exp(least((lo + hi) / 2 * x, 50.0)))) FROM hist WHERE hist.grp = bi.grp AND hist.no_grp = bi.no_grp) AS g
+        FROM bi JOIN t USING (grp, no_grp) WHERE k < 120)),
+r AS (SELECT t.*, round((lo + hi) / 2, 9) AS lam, greatest(1, ceil(docs / 512.0))::BIGINT AS cells FROM t LEFT JOIN (SELECT * FROM bi WHERE k = 120) USING (grp, no_grp)),
+c AS (SELECT b.*, r.tokens, r.target, (h + size * 7919) % cells AS cell,
+             CASE WHEN tokens = 0 THEN 1000000 WHEN lam IS NULL THEN 2000000 ELSE round(1000000 * least(2.0::DOUBLE, exp(least(lam * (size * docs / tokens), 50.0)))) END::BIGINT AS units FROM base b JOIN r USING (grp, no_grp)),
+p AS (SELECT *, units // 1000000 AS whole, row_number() OVER w AS place, (sum(units % 1000000) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS sum_to FROM c WINDOW w AS (PARTITION BY grp, no_grp ORDER BY cell, size, h, doc_id)),
+x AS (SELECT *, sum_to // 1000000 - (sum_to - units % 1000000) // 1000000 AS extra FROM p),
 o AS (SELECT grp, no_grp, round(max(target) - sum(size * (whole + extra)), 6) AS gap, []::BIGINT[] AS flips FROM x GROUP BY ALL),
-y AS (SELECT grp, no_grp, place, CASE WHEN extra = 1 THEN -size WHEN whole + 1 <= 2 THEN size END AS d FROM x WHERE size > 0),
+y AS (SELECT grp, no_grp, place, way, way * size AS d FROM x, (VALUES (-1), (1)) AS v(way) WHERE size > 0 AND whole + extra + way BETWEEN 0 AND 2),
 @ROUNDS@
-b AS (SELECT grp, no_grp, unnest(flips) AS place, 1 AS flipped FROM s3)
-SELECT doc_id, size, tokens::BIGINT AS source_size, target, (whole + CASE WHEN flipped = 1 THEN 1 - extra ELSE extra END)::BIGINT AS copies,
-       (size * (whole + CASE WHEN flipped = 1 THEN 1 - extra ELSE extra END))::BIGINT AS taken
+b AS (SELECT grp, no_grp, abs(f) AS place, sign(f) AS way FROM (SELECT grp, no_grp, unnest(flips) AS f FROM s3))
+SELECT doc_id, size, tokens::BIGINT AS source_size, target, (whole + extra + coalesce(way, 0))::BIGINT AS copies, (size * (whole + extra + coalesce(way, 0)))::BIGINT AS taken
 FROM x LEFT JOIN b USING (grp, no_grp, place)
 """
 OP8_ORACLE = OP8_ORACLE.replace(
     "@ROUNDS@",
     "\n".join(
-        f"""b{i} AS (SELECT grp, no_grp, place, round(gap - d, 6) AS after FROM y JOIN {was} USING (grp, no_grp) WHERE abs(round(gap - d, 6)) < abs(gap) AND NOT list_contains(flips, place)
- QUALIFY row_number() OVER (PARTITION BY grp, no_grp ORDER BY abs(round(gap - d, 6)), place) = 1),
-s{i} AS (SELECT grp, no_grp, coalesce(after, gap) AS gap, CASE WHEN place IS NULL THEN flips ELSE list_append(flips, place) END AS flips FROM {was} LEFT JOIN b{i} USING (grp, no_grp)),"""
+        f"""b{i} AS (SELECT grp, no_grp, place * way AS flip, round(gap - d, 6) AS after FROM y JOIN {was} USING (grp, no_grp) WHERE abs(round(gap - d, 6)) < abs(gap) AND NOT list_contains(flips, place) AND NOT list_contains(flips, -place)
+ QUALIFY row_number() OVER (PARTITION BY grp, no_grp ORDER BY abs(round(gap - d, 6)), place, way) = 1),
+s{i} AS (SELECT grp, no_grp, coalesce(after, gap) AS gap, CASE WHEN flip IS NULL THEN flips ELSE list_append(flips, flip) END AS flips FROM {was} LEFT JOIN b{i} USING (grp, no_grp)),"""
         for i, was in ((1, "o"), (2, "s1"), (3, "s2"))
     ),
 )

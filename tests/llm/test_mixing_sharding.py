@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import zlib
 
@@ -40,10 +41,35 @@ def test_tilted_rates_meet_the_constraint(spark):
     for share in (0.3, 1.4):
         total = 10 * sum(range(1, 50))
         targets = spark.createDataFrame([("a", 0, float(total), 490, share * total)], "grp string, no_grp int, tokens double, docs long, target double")
-        x = F.col("size") / 25.0
-        lam = X.newton_multipliers(sizes, targets, cap=50.0, tilt=x).first().lam
-        got = sizes.agg(F.sum(F.col("n") * F.col("size") * F.exp(lam * x))).first()[0]
-        assert got == pytest.approx(share * total, rel=1e-8)
+        for cap in (50.0, 1.5):
+            lam = X.newton_multipliers(sizes, targets, cap=cap).first().lam
+            got = sum(10 * s * min(cap, math.exp(lam * s / 25)) for s in range(1, 50))
+            assert got == pytest.approx(share * total, rel=1e-10)
+
+
+def test_rates_depend_on_the_document(spark):
+    """Entropy balancing by its definition: of all rates that meet the constraint, these are nearest to one copy each."""
+    sizes = [5, 9, 40, 40, 300, 700]
+    rows = [(i, s, n) for s, docs in (("a", sizes), ("b", sizes), ("c", sizes)) for i, n in enumerate(docs)]
+    got = X.entropy_balance(table(spark, [(i + 10 * "abc".index(s), s, n) for i, s, n in rows])).collect()
+    for source in "abc":
+        rates = {x.size: x.rate for x in got if x.source == source}
+        target = next(x.target for x in got if x.source == source)
+        if target < 2 * sum(sizes):
+            assert abs(sum(rates[n] * n for n in sizes) - target) < 0.01 and len(set(rates.values())) > 3
+            inner = [n for n in sizes if rates[n] < 2]
+            lam = math.log(rates[inner[0]]) / inner[0]
+            assert all(math.log(rates[n]) / n == pytest.approx(lam, rel=1e-2) for n in inner)  # one tilt for all
+    assert {x.rate for x in got if x.target >= 2 * sum(sizes) - 1e-6} <= {2.0}
+
+
+def test_multipliers_at_the_edges(spark):
+    sizes = spark.createDataFrame([("a", 0, 1, 5), ("a", 0, 20_000, 1), ("b", 0, 7, 3), ("c", 0, 0, 4)], "grp string, no_grp int, size long, n long")
+    targets = [("a", 0, 20_005.0, 6, 20_008.0), ("b", 0, 21.0, 3, 42.0), ("c", 0, 0.0, 4, 0.0)]
+    found = {r.grp: r.lam for r in X.newton_multipliers(sizes, spark.createDataFrame(targets, "grp string, no_grp int, tokens double, docs long, target double")).collect()}
+    x = lambda s: s * 6 / 20_005
+    assert sum(n * s * min(2, math.exp(min(50, found["a"] * x(s)))) for s, n in ((1, 5), (20_000, 1))) == pytest.approx(20_008, rel=1e-10)
+    assert found["b"] is None and found["c"] == 0
 
 
 def test_word_rule(spark):
