@@ -260,6 +260,18 @@ def within_buckets(members: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     return rows.groupBy("key", "i", "j").applyInPandas(compare, "a bigint, b bigint").distinct()
 
 
+def repeated_ids(found: DataFrame, classes: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """The doc_ids whose rows have different sets, and the links (a, b) between each and the classes of its sets; None where there are none."""
+    digest = ["n_shingles", "d1", "d2"]
+    named = found.where("doc_id IS NOT NULL")
+    several = F.min(F.struct(*digest)).alias("lo"), F.max(F.struct(*digest)).alias("hi")
+    again = materialize(named.groupBy("doc_id").agg(*several).where("lo != hi").select("doc_id"), "repeated-ids")
+    if again.isEmpty():
+        return None, None
+    links = named.join(again, "doc_id").where("n_shingles > 0").join(classes, digest).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+    return again, materialize(links, "repeated-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for docs (doc_id, text).
 
@@ -269,8 +281,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     components remain, the pairs of different components. No pair within a component is made, none across is left out.
 
     Null or blank texts have the empty set and are linked with nothing. Rows that share a doc_id count as one node (each
-    keeps its own n_shingles). A row without doc_id stays by itself: its component_id is null and it is kept. An empty
-    table gives an empty table.
+    keeps its own n_shingles): it is linked with whatever one of its texts is linked with, and all its rows have one
+    component_id. A row without doc_id stays by itself: its component_id is null and it is kept. An empty table gives
+    an empty table.
     """
     ship_package(docs.sparkSession)
     found = materialize(sketch_documents(docs), "sketches")
@@ -289,13 +302,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.where("rep != leader").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(verified(materialize(likely(stars, sets), "likely"), sets), "links")
+    again, same = repeated_ids(found, classes)
+    links = links.union(same) if same is not None else links
     labels = materialize(connected_components(links), "labels")
     more = verified(materialize(within_buckets(members.select("key", "m", "rep"), labels, sets), "likely"), sets)
-    labels = connected_components(links.union(materialize(more, "links")))
+    labels = materialize(connected_components(links.union(materialize(more, "links"))), "labels")
 
     of_class = materialize(classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, F.coalesce("comp", "rep").alias("component_id")), "components")
     out = found.drop("bands").join(of_class, digest, "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
+    if again is not None:
+        shared = labels.join(again.withColumnRenamed("doc_id", "node"), "node").select(F.col("node").alias("doc_id"), F.col("comp").alias("_comp"))
+        out = out.join(shared, "doc_id", "left")
+        component = F.coalesce("_comp", component)
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
 
 

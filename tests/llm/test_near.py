@@ -79,3 +79,24 @@ def test_big_bucket_is_compared_in_blocks(documents, monkeypatch):
     rows = corpus()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in N.near_duplicates(documents(rows)).collect()}
     assert got == brute(rows)
+
+
+def test_texts_that_share_an_id_are_one_node(documents):
+    b, c, d = "b1 b2 b3 b4 b5 b6 b7", "c1 c2 c3 c4 c5 c6 c7", "d1 d2 d3 d4 d5 d6"
+    rows = [(1, b), (7, b), (7, c), (9, c), (9, None), (4, d), (5, d), (5, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(documents(rows)).collect())
+    assert got == [(1, 3, 1, True), (4, 2, 4, True), (5, 0, 4, False), (5, 2, 4, False), (7, 3, 1, False), (7, 3, 1, False), (9, 0, 1, False), (9, 3, 1, False)]
+
+
+def test_recall_of_pairs_at_the_bound(documents):
+    """Pairs of documents at 0.75 and just above: all are found, and none just below."""
+    r = random.Random(9)
+    rows, near = [], 0
+    for pair in range(150):
+        words = [f"w{pair}x{r.randint(0, 10**9)}" for _ in range(200)]
+        k = r.randint(26, 31)  # a changed tail of k words leaves (196 - k) / (196 + k)
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[: 200 - k] + [f"t{i}" + w for i, w in enumerate(words[200 - k :])]))]
+        near += 100 * (196 - k) >= 75 * (196 + k)
+    got = {x.doc_id: x.component_id for x in N.near_duplicates(documents(rows)).collect()}
+    assert sum(got[2 * p + 1] == 2 * p for p in range(150)) == near and 0 < near < 150
+    assert got == {i: c for i, (_, c) in brute(rows).items()}
