@@ -50,11 +50,14 @@ BONUS = 2.0
 TRAILING = re.compile(r"""(?:([%$#&*!?~=+])\1\1+|[.,;:!?"')\]}>»”’*%#&…-])+$""")
 LEADING = re.compile(r"""^["'(\[{<«“‘*#%&¿¡-]+""")
 SIGN = re.compile(r"[^\W\d_].*[^a-zA-ZÀ-ɏ]|[^a-zA-ZÀ-ɏ].*[^\W\d_]")
-DOUBLE = re.compile(r"([^\W\d_])\1")
+DOUBLE, RUN = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
 #: Three or more letters, or signs that may stand for letters, each repeated or not, with separators between them.
 ONE = r"[^\W_]|[@$!|+(€]"
 SPACED = re.compile(rf"""(?<!\S)(?:(?:({ONE}|\*)\1*[ .\-_]{{1,2}}){{2,}}({ONE}|\*)\2*|(?:({ONE})\3*\*){{2,}}({ONE})\4*)(?![^\s.,;:?!"')\]}}])""")
 
+#: What stands in every match of SPACED, found faster: its last two units.
+SPACED_END = re.compile(rf"[ .\-_*]({ONE}|\*)\1*[ .\-_*]{{1,2}}({ONE}|\*)\2*(?![^\W_])")
+
 
 def char_class(c: str) -> int:
     if "a" <= c <= "z":
@@ -110,9 +113,14 @@ def log_model(counts: np.ndarray) -> np.ndarray:
     return np.log(p3).astype(np.float32)
 
 
+def channel_costs(meant: int, sent: int) -> float | None:
+    """The log cost of sending a letter sent times that was meant once or twice; None: not possible."""
+    return {(1, 1): 0.0, (2, 1): None, (1, 2): -4.0, (2, 2): 0.0}.get((meant, sent), -0.7)
+
+
 def run_arcs(c: str, n: int, inside: bool) -> list[list[tuple[str, float]]]:
     """What n times the sign c may have meant, with the channel's log cost. inside: letters or signs stand on both sides."""
-    one, two = {1: (0.0, None), 2: (-4.0, 0.0)}.get(n, (-0.7, -0.7))  # costs of meaning one and two of a letter
+    one, two = channel_costs(1, n), channel_costs(2, n)
     if c.isalpha():
         meant, cost, drop = c, 0.0, None
     elif c == "*":
@@ -181,7 +189,25 @@ class Restorer:
     """The words that tokens and spaced letters mean."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model
+        self.model, self.flat, self.classes = model, model.reshape(-1).tolist(), classes().tolist()
+
+    def undoubled(self, word: str) -> str:
+        """decode(lattice(word)) for lower-case letters of which none stands three times in a row.
+
+        Such a word's doubled letters are decided one by one: under a trigram model only the second letter of the two and
+        the one after them depend on whether one or two were meant.
+        """
+        p, c = self.flat, [0, 0, *[self.classes[min(ord(x), TABLE)] for x in word], 0]
+        single, double = channel_costs(1, 2), channel_costs(2, 2) + BONUS
+        out, at = [], 0
+        for m in DOUBLE.finditer(word):
+            i = m.start() + 2  # the letter's place in c
+            y, x, z = c[i - 1], c[i], c[i + 2]
+            both = double + p[(y * A + x) * A + x] + p[(x * A + x) * A + z]
+            if both <= single + p[(y * A + x) * A + z]:
+                out.append(word[at : m.start() + 1])
+                at = m.end()
+        return "".join(out) + word[at:] if out else word
 
     def words(self, token: str) -> list[str]:
         """Lower-case words of a token: as it stands and, where its signs allow another reading, as decoded."""
@@ -189,8 +215,12 @@ class Restorer:
         low = word.lower()
         if not low:
             return []
-        if low.isalpha() and not DOUBLE.search(low):
-            return [low]
+        if low.isalpha():
+            if not DOUBLE.search(low):
+                return [low]
+            if not RUN.search(low):
+                other = self.undoubled(low)
+                return [low] if other == low else [low, *other.split()]
         inner = LEADING.sub("", token).rstrip(".,;:?\"')]}>")
         out = [low]
         for w in {word, inner}:
@@ -275,7 +305,7 @@ class Scorer(dict):
         """Number of hits, their mean and greatest weight, their share of the words, number of strong hits; scaled."""
         tokens = (text or "").split()
         hits = [w for w in map(self.__getitem__, tokens) if w]
-        if text and SPACED.search(text):
+        if text and SPACED_END.search(text):
             hits += [w for w in map(self.weight, self.restorer.spaced(text)) if w]
         n = len(hits)
         return math.log1p(n), (sum(hits) / n if n else 0.0), max(hits, default=0.0), math.log1p(100.0 * n / max(1, len(tokens))), math.log1p(sum(w >= STRONG for w in hits))

@@ -129,3 +129,21 @@ def test_logistic_fit_is_at_the_minimum():
     loss = lambda w: np.logaddexp(0, -(2 * y - 1) * (w[0] + x @ w[1:])).sum() + 0.5e-4 * len(y) * (w[1:] ** 2).sum()
     w = X.fit_logistic(x, y)
     assert all(loss(w) <= loss(w + d) for d in np.eye(3) * 1e-3) and all(loss(w) <= loss(w - d) for d in np.eye(3) * 1e-3)
+
+
+def test_doubled_letters_are_decided_as_by_viterbi(model):
+    r, random_ = X.Restorer(model), random.Random(8)
+    changed = 0
+    for _ in range(500):
+        word = "".join(random_.choice("aeinorstdmél") * random_.choice([1, 1, 2]) for _ in range(random_.randint(1, 9)))
+        if not X.RUN.search(word):
+            assert r.undoubled(word) == X.decode(X.lattice(word), model)
+            changed += r.undoubled(word) != word
+    assert changed > 20
+
+
+def test_every_spaced_word_is_looked_for():
+    random_ = random.Random(4)
+    for _ in range(3000):
+        text = "".join(random_.choice(["a", "b", "1", " ", " ", ".", "*", "x y", "!", "cd"]) for _ in range(random_.randint(4, 14)))
+        assert not X.SPACED.search(text) or X.SPACED_END.search(text)
