@@ -211,7 +211,9 @@ class Restorer:
 
     def words(self, token: str) -> list[str]:
         """Lower-case words of a token: as it stands and, where its signs allow another reading, as decoded."""
-        word = core(token)
+        word = token.rstrip(".,;:!?")
+        if not word.isalpha():  # most tokens are letters only, which core would leave as they are
+            word = core(token)
         low = word.lower()
         if not low:
             return []
@@ -246,6 +248,19 @@ def features(word: str) -> list[str]:
     return ["=" + word, *("^" + word[:n] for n in PREFIXES if len(word) >= n)]
 
 
+class Features(dict):
+    """The features of tokens, remembered."""
+
+    def __init__(self, model: np.ndarray):
+        self.restorer = Restorer(model)
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if len(self) >= MEMO // 3:  # an entry has several strings
+            self.clear()
+        out = self[token] = tuple(f for w in self.restorer.words(token) for f in features(w))
+        return out
+
+
 def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
     """Weights of features by labelled lines: labelled has text and toxic. Equal lines count once, so that copies weigh nothing more."""
     lines = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select((F.col("toxic") > 0).alias("toxic"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
@@ -255,7 +270,7 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
     def run(batches):
         import pyarrow as pa
 
-        restorer, seen = Restorer(model), [Counter(), Counter()]
+        memo, seen = worker_memo(("features", model.tobytes()[:4096]), lambda: Features(model)), [Counter(), Counter()]
 
         def flush():
             keys = list(seen[0].keys() | seen[1].keys())
@@ -265,8 +280,10 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
 
         for texts, toxic in rows_of(batches, "line", "toxic"):
             for t, y in zip(texts, toxic, strict=True):
-                words = {w for token in set(t.split()) for w in restorer.words(token)} | set(restorer.spaced(t))
-                seen[bool(y)].update({f for w in words for f in features(w)})
+                found = set().union(*map(memo.__getitem__, t.split()))
+                if SPACED_END.search(t):
+                    found.update(f for w in memo.restorer.spaced(t) for f in features(w))
+                seen[bool(y)].update(found)
                 if len(seen[0]) + len(seen[1]) > 100_000:
                     yield flush()
         yield flush()
@@ -311,9 +328,9 @@ class Scorer(dict):
         return math.log1p(n), (sum(hits) / n if n else 0.0), max(hits, default=0.0), math.log1p(100.0 * n / max(1, len(tokens))), math.log1p(sum(w >= STRONG for w in hits))
 
 
-def worker_scorer(model: np.ndarray, lexicon: dict[str, float], weights: np.ndarray) -> Scorer:
+def worker_scorer(model: np.ndarray, lexicon: dict[str, float]) -> Scorer:
     """The scorer of this Python worker; what it remembers serves all tasks that the worker runs with this model."""
-    key = ("scorer", weights.tobytes(), model.tobytes()[:4096], len(lexicon))
+    key = ("scorer", model.tobytes()[:4096], hash(frozenset(lexicon.items())))
     return worker_memo(key, lambda: Scorer(model, lexicon))
 
 
@@ -348,7 +365,7 @@ class Toxicity:
             import pyarrow as pa
 
             model, lexicon, weights = parts.value
-            scorer = worker_scorer(model, lexicon, weights)
+            scorer = worker_scorer(model, lexicon)
             for batch in batches:
                 (texts,) = next(rows_of([batch], "text"))
                 x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
@@ -387,7 +404,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     def run(batches):
         import pyarrow as pa
 
-        scorer = Scorer(model, lexicon)
+        scorer = worker_scorer(model, lexicon)
         for texts, toxic in rows_of(batches, "text", "toxic"):
             found = Counter((*(round(v, 2) for v in scorer.evidence(t)), int(y > 0)) for t, y in zip(texts, toxic, strict=True))
             cols = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [[]] * (SIGNS + 2)
