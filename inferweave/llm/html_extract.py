@@ -19,7 +19,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
-from collections import Counter
+from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,11 +60,11 @@ def parse(source: str) -> Node:
     """A DOM of the elements and texts (still with their references); end tags that HTML implies are added. Any depth is read."""
     root = Node("#root")
     stack, at, end = [root], 0, len(source)
-    open_ = Counter()
+    open_ = defaultdict(int)
 
     def close_from(i: int) -> None:
-        open_.subtract(n.tag for n in stack[i:])
-        del stack[i:]
+        for _ in range(len(stack) - i):
+            open_[stack.pop().tag] -= 1
 
     while at < end:
         m = TOKEN.search(source, at)
@@ -79,7 +79,10 @@ def parse(source: str) -> Node:
             continue
         name = name.lower()
         if close:
-            if open_[name] > 0:
+            if stack[-1].tag == name and len(stack) > 1:
+                open_[name] -= 1
+                stack.pop()
+            elif open_[name] > 0:
                 close_from(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name))
             continue
         if name in ENDS_P and open_["p"] > 0:
@@ -162,9 +165,9 @@ class Styled:
 
 def styled(root: Node) -> list[Styled]:
     """The block branches of a page that meaning doesn't settle (noise is left out): the root's first, each before what is below it."""
-    import xxhash
+    from xxhash import xxh64_intdigest
 
-    h = lambda *x: xxhash.xxh64_intdigest("\0".join(map(str, x))) - (1 << 63)
+    h = lambda *x: xxh64_intdigest("\0".join(map(str, x))) - (1 << 63)
 
     def begun(n: Node, place: int, inside: bool) -> Styled:
         s = Styled()
@@ -264,7 +267,8 @@ def blocks(root: Node, low: set[int]) -> list[str]:
 
 def main_text(source: str | None, known: dict[int, tuple[float, int]]) -> str:
     root = parse(source or "")
-    return "\n\n".join(blocks(root, low_branches(root, known)) or blocks(root, set()))
+    low = low_branches(root, known) if known else set()
+    return "\n\n".join(blocks(root, low) or blocks(root, set()))
 
 
 def host_of(url):
