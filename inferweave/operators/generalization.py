@@ -46,7 +46,7 @@ def levelled(scope: DataFrame, taxonomy: DataFrame, config: BuildConfig | None =
     stays if its ends lie on different cycles and the parent's level is within bounds and above the child's.
     """
     config = config or BuildConfig()
-    cycles = strong_components(taxonomy.select(F.col("child").alias("src_id"), F.col("parent").alias("dst_id")), config.max_level + 1)
+    cycles = strong_components(taxonomy.select(F.col("child").alias("src_id"), F.col("parent").alias("dst_id")))
     of = lambda side: cycles.select(F.col("node").alias(side), F.col("scc").alias(f"{side}_scc"))
     edges = taxonomy.join(of("child"), "child", "left").join(of("parent"), "parent", "left")
     edges = cut(edges.withColumn("c", F.coalesce("child_scc", "child")).withColumn("p", F.coalesce("parent_scc", "parent")).drop("child_scc", "parent_scc"))

@@ -110,12 +110,17 @@ def fused_ranks(*ranked: DataFrame, k: int = 60) -> DataFrame:
     return out.groupBy("id").agg(F.sum(1 / (F.lit(float(k)) + F.col("rank"))).alias("score"))
 
 
-def resolved_conflicts(claims: DataFrame, key: list[str]) -> DataFrame:
-    """The claim that wins of each key by status (axiom, observation, induced, deduced), confidence and id; review marks axioms that disagree."""
-    rank = status_rank(F.col("status"))
-    order = Window.partitionBy(*key).orderBy(rank, F.desc("confidence"), "id")
-    axioms = F.count_if(F.col("status") == "axiom").over(Window.partitionBy(*key))
-    return claims.withColumn("review", axioms > 1).withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+def resolved_conflicts(claims: DataFrame, key: list[str], says: str) -> DataFrame:
+    """The claim that wins of each key by status (axiom, observation, induced, deduced), confidence and id.
+
+    review marks keys whose axioms disagree in the column says. One aggregation, which combines before the shuffle: a
+    key with very many claims is no hot task.
+    """
+    rank = F.struct(status_rank(F.col("status")).alias("s"), (-F.coalesce("confidence", F.lit(0.0))).alias("c"), F.col("id"))
+    axiom = F.when(F.col("status") == "axiom", F.col(says))
+    rest = [c for c in claims.columns if c not in key]
+    out = claims.groupBy(*key).agg(F.min_by(F.struct(*rest), rank).alias("won"), F.coalesce(F.min(axiom) != F.max(axiom), F.lit(False)).alias("review"))
+    return out.select(*key, "won.*", "review")
 
 
 def status_rank(status: Column) -> Column:

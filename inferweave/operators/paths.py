@@ -69,9 +69,54 @@ def transitive_closure(edges: DataFrame, max_hops: int = 8) -> DataFrame:
     return found
 
 
-def strong_components(edges: DataFrame, max_hops: int = 8) -> DataFrame:
-    """node, scc (its smallest member) for nodes that lie on cycles: those that reach each other."""
-    reach = transitive_closure(edges, max_hops)
-    back = reach.select(F.col("src_id").alias("dst_id"), F.col("dst_id").alias("src_id"))
-    both = reach.select("src_id", "dst_id").join(back, ["src_id", "dst_id"])
-    return both.groupBy(F.col("src_id").alias("node")).agg(F.least(F.min("dst_id"), F.first("src_id")).alias("scc"))
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, scc (its smallest member) for nodes that lie on cycles of any length: those that reach each other.
+
+    Nodes without an edge in or out lie on no cycle and go first, again and again. Of the rest, each node takes the least
+    node that reaches it as its colour; what reaches such a least node within its colour is a component of its own and
+    goes too. Rounds are as many as the longest way within what is left; each is a join and an aggregation.
+    """
+    pairs = edges.select("src_id", "dst_id").distinct()
+    found = pairs.where("src_id = dst_id").select(F.col("src_id").alias("node"), F.col("src_id").alias("scc"))
+    left = trimmed(cut(pairs.where("src_id != dst_id")))
+    while not left.isEmpty():
+        colours = least_reaching(left)
+        of = lambda side: colours.select(F.col("node").alias(side), F.col("low").alias(f"{side}_low"))  # noqa: E731, B023
+        inner = left.join(of("src_id"), "src_id").join(of("dst_id"), "dst_id").where("src_id_low = dst_id_low")
+        inner = cut(inner.select("src_id", "dst_id", F.col("src_id_low").alias("low")))
+        members = frontier = colours.where("node = low").join(inner.select(F.col("low")).distinct(), "low", "left_semi").select("node", "low")
+        while not frontier.isEmpty():
+            step = inner.join(frontier.withColumnRenamed("node", "dst_id"), ["dst_id", "low"]).select(F.col("src_id").alias("node"), "low").distinct()
+            frontier = cut(step.join(members, ["node", "low"], "left_anti"))
+            members = members.unionByName(frontier)
+        members = cut(members)
+        # a least node that nothing reaches back from is alone and on no cycle
+        on_cycles = members.join(members.groupBy("low").count().where("count > 1").select("low"), "low", "left_semi")
+        found = found.unionByName(on_cycles.select("node", F.col("low").alias("scc")))
+        gone = members.select("node").union(colours.where("node = low").select("node")).distinct()
+        rest = left.join(gone.withColumnRenamed("node", "src_id"), "src_id", "left_anti").join(gone.withColumnRenamed("node", "dst_id"), "dst_id", "left_anti")
+        left = trimmed(cut(rest))
+    return found.groupBy("node").agg(F.min("scc").alias("scc"))
+
+
+def trimmed(edges: DataFrame) -> DataFrame:
+    """edges (src_id, dst_id) without those that can't lie on a cycle because an end has no edge in or none out."""
+    n = edges.count()
+    while n:
+        heads, tails = edges.select(F.col("dst_id").alias("src_id")).distinct(), edges.select(F.col("src_id").alias("dst_id")).distinct()
+        edges = cut(edges.join(heads, "src_id", "left_semi").join(tails, "dst_id", "left_semi").select("src_id", "dst_id"))
+        was, n = n, edges.count()
+        if n == was:
+            break
+    return edges
+
+
+def least_reaching(edges: DataFrame) -> DataFrame:
+    """node, low: the least node from which a way leads to the node, itself included. Only lows that fell are carried on."""
+    low = edges.select(F.col("src_id").alias("node")).union(edges.select("dst_id")).distinct().withColumn("low", F.col("node"))
+    fell = low = cut(low)
+    while not fell.isEmpty():
+        step = edges.join(fell, edges["src_id"] == fell["node"]).groupBy(F.col("dst_id").alias("node")).agg(F.min("low").alias("new"))
+        low = cut(low.join(step, "node", "left").select("node", F.least("low", F.coalesce("new", "low")).alias("low"), F.coalesce(F.col("new") < F.col("low"), F.lit(False)).alias("fell")))
+        fell, low = low.where("fell").select("node", "low"), low.select("node", "low")
+    return low

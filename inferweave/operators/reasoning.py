@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inferweave.functions.lineage import cut
 from inferweave.functions.registry import Registry
 from inferweave.functions.scalars import base_name, norm_key
-from inferweave.operators.paths import simple_paths, transitive_closure
+from inferweave.operators.paths import both_ways, simple_paths, transitive_closure
 from inferweave.sources.kg import Graph
 
 
@@ -23,22 +23,33 @@ class Config:
     exclude_deduced: bool = True
     directed: bool = False
     contradiction: str = "predicate"  # or class, or none
+    by_name: bool = False  # whether sources and targets may be names of entities
 
 
 def proofs(requests: DataFrame, graph: Graph, registry: Registry, config: Config) -> DataFrame:
     """Proofs of requests (req_id, source, and optionally target, predicate, include_inverse), before ranking.
 
-    req_id, source, node, predicate (effective, '' if the path amounts to nothing), conf, hops, ids, steps, rule_class.
+    Sources and targets are met by id, whatever the case and the space around it, and with config.by_name by entity
+    name too; several nodes may be met. req_id, source, node, predicate (effective, '' if the path amounts to nothing),
+    conf, hops, ids, steps, rule_class.
     """
     g = graph.quarantined(config.exclude_deduced)
     # paths depend on the source alone: requests that share one share its paths
-    starts = requests.select(F.col("source").alias("req_id"), F.col("source").alias("start")).distinct()
+    keys = requests.select("source").distinct().withColumn("_key", norm_key(F.col("source")))
+    nodes = (g.edges if config.directed else both_ways(g.edges)).select(F.col("src_id").alias("start"), norm_key(F.col("src_id")).alias("_key"))
+    starts = nodes.join(keys, "_key").select("source", "start").distinct()
+    if config.by_name and g.entities is not None:
+        starts = starts.union(g.entities.select(F.col("id").alias("start"), norm_key(F.col("name")).alias("_key")).join(keys, "_key").select("source", "start")).distinct()
+    starts = starts.withColumnRenamed("source", "req_id")
     found = simple_paths(starts, g.edges, config.max_hops, config.decay, config.min_conf, config.directed).withColumnRenamed("req_id", "source")
     found = found.withColumn("predicate", F.coalesce(registry.effective_column(F.col("preds")), F.lit("")))
     wanted = [c for c in ("target", "predicate", "include_inverse") if c in requests.columns]
     asked = requests.select("req_id", "source", *[F.col(c).alias(f"want_{c}") for c in wanted])
     if "target" in wanted:
         at = found.withColumn("_key", norm_key(F.col("node")))
+        if config.by_name and g.entities is not None:
+            named = g.entities.select(F.col("id").alias("node"), norm_key(F.col("name")).alias("_key"))
+            at = at.unionByName(found.join(named, "node").where(F.col("_key") != norm_key(F.col("node"))).select(*at.columns))
         some = asked.where("want_target IS NOT NULL").withColumn("_key", norm_key(F.col("want_target"))).join(at, ["source", "_key"])
         out = some.unionByName(asked.where("want_target IS NULL").withColumn("_key", F.lit("")).join(found, "source"))
     else:

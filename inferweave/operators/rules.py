@@ -52,20 +52,25 @@ def compile_rules(rules: list[Rule], registry: Registry) -> tuple[list[Rule], in
 
 
 def evaluation_order(rule: Rule, bound: frozenset[str] = frozenset()) -> list[tuple] | None:
-    """Conditions by fewest unbound ends (negated ones that aren't bound last); None if one can never be evaluated.
+    """The conditions as a plan of joins; None if one can never be evaluated.
 
-    bound: variables that are bound beforehand, as a claim binds those of the consequent.
+    Conditions that hold come first, the most selective ones (by constants) before the others, each only when it is
+    connected with what stands before it, by a constant or a variable, so that no join is a product. Then come the
+    negated ones, as anti-joins, whose variables must all be bound by then. bound: variables that are bound beforehand,
+    as a claim binds those of the consequent.
     """
-    known, left, out = set(bound), list(rule.conditions), []
-    while left:
-        free = lambda c: sum(is_var(t) and t not in known for t in (c[0], c[2]))  # noqa: E731, B023
-        best = min(left, key=lambda c: free(c) + (10 if c[3] and free(c) else 0))
-        if free(best) == 2 or best[3] and free(best):
+    variables = lambda c: {t for t in (c[0], c[2]) if is_var(t)}
+    known, plan = set(bound), []
+    waiting = sorted((c for c in rule.conditions if not c[3]), key=lambda c: len(variables(c)))
+    while waiting:
+        connected = next((c for c in waiting if len(variables(c)) < 2 or variables(c) & known), None)
+        if connected is None:
             return None
-        left.remove(best)
-        out.append(best)
-        known |= {t for t in (best[0], best[2]) if is_var(t)}
-    return out
+        waiting.remove(connected)
+        plan.append(connected)
+        known |= variables(connected)
+    negated = [c for c in rule.conditions if c[3]]
+    return plan + negated if all(variables(c) <= known for c in negated) else None
 
 
 def facts_of(edges: DataFrame, origin: str = "graph") -> DataFrame:

@@ -289,8 +289,8 @@ def conflict_resolution(spark, sf_dir):
     """One claim per supplier and part among what line items say, by status."""
     li = read(spark, sf_dir, "lineitem")
     status = F.when(F.col("l_returnflag") == "R", "observation").when(F.col("l_returnflag") == "A", "axiom").otherwise("induced")
-    claims = li.select("l_suppkey", "l_partkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), status.alias("status"), (1 - F.col("l_discount")).alias("confidence"))
-    return M.resolved_conflicts(claims, ["l_suppkey", "l_partkey"]).select("l_suppkey", "l_partkey", "id", "status", "review")
+    claims = li.select("l_suppkey", "l_partkey", F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), status.alias("status"), (1 - F.col("l_discount")).alias("confidence"), F.month("l_shipdate").alias("says"))
+    return M.resolved_conflicts(claims, ["l_suppkey", "l_partkey"], "says").select("l_suppkey", "l_partkey", "id", "status", "review")
 
 
 @query
@@ -326,6 +326,55 @@ def taxonomy_levels(spark, sf_dir):
     return scope_and_edges(spark, sf_dir)[1].groupBy("parent", "depth").agg(F.count("*").alias("n"))
 
 
+def ring_graph(spark, sf_dir):
+    """Customers below nations, of which the first nine form a ring and the fourth also lies in a region; the others lie in regions."""
+    c, n = read(spark, sf_dir, "customer"), read(spark, sf_dir, "nation")
+    up = lambda df, child, parent: df.select(F.concat_ws("->", child, parent).alias("edge_id"), child.alias("src_id"), F.lit("is_a").alias("pred"), parent.alias("dst_id"), F.lit(1.0).alias("confidence"))
+    nation = F.concat(F.lit("nation:"), "n_nationkey")
+    edges = up(c, F.concat(F.lit("customer:"), "c_custkey"), F.concat(F.lit("nation:"), "c_nationkey"))
+    edges = edges.union(up(n.where("n_nationkey < 9"), nation, F.concat(F.lit("nation:"), (F.col("n_nationkey") + 1) % 9)))
+    return edges.union(up(n.where("n_nationkey >= 9 OR n_nationkey = 3"), nation, F.concat(F.lit("region:"), "n_regionkey")))
+
+
+@query
+def strong_components(spark, sf_dir):
+    """What lies on cycles, and the least member of each."""
+    return P.strong_components(ring_graph(spark, sf_dir))
+
+
+@query
+def cyclic_levels(spark, sf_dir):
+    """Levels of a taxonomy with a long cycle, of which no edge may stay."""
+    scope = read(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("id"))
+    return G.levelled(scope, G.taxonomy_edges(scope, ring_graph(spark, sf_dir))).groupBy("parent", "depth").agg(F.count("*").alias("n"))
+
+
+@query
+def anchored_proofs(spark, sf_dir):
+    """Where suppliers are, asked for in capitals and by name."""
+    g = kg.demo_graph(spark, sf_dir, ("supplier_nation", "nation_region"))
+    key = F.col("s_suppkey")
+    asked = read(spark, sf_dir, "supplier").select(key.alias("req_id"), F.when(key % 2 == 0, F.concat(F.lit(" SUPPLIER:"), key)).otherwise(F.concat(F.lit("Supplier no "), key)).alias("source"), F.lit("located_in").alias("predicate"), F.lit("Region:1").alias("target"))
+    names = kg.Graph(g.edges, read(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), key).alias("id"), F.concat(F.lit("supplier NO "), key).alias("name")))
+    found = E.derive(asked, names, kg.demo_registry(), E.Config(max_hops=2, directed=True, by_name=True))
+    return found.select("req_id", "node", "hops", r6(F.col("conf"), "conf"))
+
+
+@query
+def sql_functions(spark, sf_dir):
+    """The table functions of SQL over the demo graph, joined like any table."""
+    from inferweave.plans.engine import Engine, Generation
+
+    engine = Engine(spark, kg.demo_registry(), E.Config(max_hops=2, directed=True))
+    engine.swap(Generation("demo", kg.demo_graph(spark, sf_dir, ("nation_region", "supplier_nation"))))
+    return engine.sql(
+        "SELECT 'derive' AS what, node AS x, predicate AS y, CAST(hops AS BIGINT) AS n FROM REASON_DERIVE('nation:7') UNION ALL "
+        "SELECT 'entails', object, verdict, 1 FROM REASON_ENTAILS('nation:7', 'part of', 'region:3') UNION ALL "
+        "SELECT 'entails', object, verdict, 1 FROM REASON_ENTAILS('nation:7', 'part of', 'region:1') UNION ALL "
+        "SELECT 'contradicts', '', '', count(*) FROM reason_contradicts('nation:7', 'part_of', 'region:3')"
+    )
+
+
 @query
 def select_parents(spark, sf_dir):
     return G.selected_parents(scope_and_edges(spark, sf_dir)[1], G.BuildConfig(min_parent_support=40))
@@ -517,7 +566,7 @@ def scope_scoring(spark, sf_dir):
 
 @query
 def rate_decay(spark, sf_dir):
-    """Without an oracle: the decayed rate at the end of each day."""
+    """The decayed rate at the end of each day."""
     return T.ewma_rate(query_events(spark, sf_dir))
 
 
@@ -544,7 +593,7 @@ def extract_triples(spark, sf_dir):
 
 @query
 def streamed_rates(spark, sf_dir):
-    """Without an oracle: hourly counts from a stream over the event table."""
+    """Hourly counts from a stream over the event table, the last hours included."""
     import uuid
 
     from inferweave.functions.lineage import shared_folder
@@ -553,7 +602,7 @@ def streamed_rates(spark, sf_dir):
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = ST.rate_stream(ST.event_stream(spark, sf_dir, schema, "events.parquet"), "ts", "1 hour")
-    return ST.run_to_end(stream, f"{folder}/out", f"{folder}/state")
+    return ST.latest_to_end(stream, f"{folder}/out", f"{folder}/state", ["window_start"])
 
 
 def queries() -> dict[str, Query]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections import OrderedDict
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
@@ -17,6 +18,9 @@ from inferweave.functions.scalars import verdict_matches
 from inferweave.operators import mining, reasoning, rules
 from inferweave.sources.kg import Graph
 
+#: A call of a table function, and an argument of it: a literal or NULL.
+CALL = re.compile(r"\bREASON_(ENTAILS|DERIVE|CONTRADICTS)\s*\(((?:[^()']|'(?:[^']|'')*')*)\)", re.I)
+ARGUMENT = re.compile(r"'((?:[^']|'')*)'|\b(NULL)\b", re.I)
 CLAIM = "claim_id string, subject string, predicate string, object string"
 
 
@@ -109,6 +113,31 @@ class Engine:
         compiled, _ = rules.compile_rules(live.rules, self.registry)
         return rules.fire_rules(compiled, rules.facts_of(live.graph.quarantined(self.config.exclude_deduced).edges), self.registry, assumed, max_rules, self.config.decay)
 
+    def sql(self, text: str) -> DataFrame:
+        """SQL in which REASON_ENTAILS(subject, predicate, object), REASON_CONTRADICTS (the same) and REASON_DERIVE(source[, predicate[, target]]) are tables.
+
+        Arguments are string literals or NULL. A call is planned like any table: what is asked around it is optimized with it.
+        """
+        found: dict[str, DataFrame] = {}
+
+        def planned(call: re.Match) -> str:
+            args = [None if null else literal.replace("''", "'") for literal, null in ARGUMENT.findall(call[2])]
+            kind, name = call[1].upper(), f"_reason{len(found)}"
+            if kind == "DERIVE":
+                if not 1 <= len(args) <= 3 or args[0] is None:
+                    raise ValueError("REASON_DERIVE takes a source and, if wanted, a predicate and a target")
+                source, predicate, target = [*args, None, None][:3]
+                row = {"req_id": "0", "source": source} | ({"predicate": predicate} if predicate else {}) | ({"target": target} if target else {})
+                asked = inline(self.spark, [row], ", ".join(f"{c} string" for c in row))
+                found[name] = self.derive(asked).drop("req_id")
+            else:
+                if len(args) != 3 or None in args:
+                    raise ValueError(f"REASON_{kind} takes a subject, a predicate and an object")
+                found[name] = (self.entails if kind == "ENTAILS" else self.contradicts)([tuple(args)])
+            return f"{{{name}}}"
+
+        return self.spark.sql(CALL.sub(planned, text), **found)
+
     def inventory(self, limit: int | None = None) -> DataFrame:
         live = self._live()
         return mining.predicate_inventory(live.graph.edges, live.graph.entities, self.registry, limit)

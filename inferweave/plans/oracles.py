@@ -31,6 +31,13 @@ def entity(x: str) -> str:
 
 FOLD = "CASE WHEN a.pred = 'located_in' AND b.pred = 'part_of' THEN 'located_in' WHEN a.pred = 'instance_of' AND b.pred = 'is_a' THEN 'instance_of' WHEN a.pred = 'supplies' AND b.pred = 'is_a' THEN 'supplies' WHEN a.pred = b.pred AND a.pred IN ('is_a', 'part_of', 'located_in') THEN a.pred END"
 
+#: A taxonomy whose first nine nations form a ring, all that reaches what, and what reaches each other.
+RING = """WITH RECURSIVE e AS (SELECT 'customer:' || c_custkey AS s, 'nation:' || c_nationkey AS d FROM customer UNION ALL SELECT 'nation:' || n_nationkey, 'nation:' || (n_nationkey + 1) % 9 FROM nation WHERE n_nationkey < 9
+ UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation WHERE n_nationkey >= 9 OR n_nationkey = 3),
+reach(s, d) AS (SELECT s, d FROM e UNION SELECT r.s, e.d FROM reach r JOIN e ON e.s = r.d),
+both_ways AS (SELECT a.s, a.d FROM reach a JOIN reach b ON a.s = b.d AND a.d = b.s)
+"""
+
 GENERALIZED = f"""WITH {graph("customer_nation", "nation_region", "customer_segment")},
 tax AS (SELECT src_id AS child, dst_id AS parent, pred, CASE WHEN pred = 'located_in' THEN 1 ELSE 2 END AS depth FROM e
         WHERE pred = 'located_in' OR pred = 'part_of' AND src_id IN (SELECT dst_id FROM e WHERE pred = 'located_in')),
@@ -124,8 +131,9 @@ ORACLES: dict[str, str] = {
     "nearest_neighbour": """WITH p AS (SELECT a.vec_id AS id, b.vec_id AS c, round(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.embedding::DOUBLE[], lambda z: z * z))) * sqrt(list_sum(list_transform(b.embedding::DOUBLE[], lambda z: z * z)))), 6) AS s
  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0) SELECT id, c AS nearest, s AS similarity FROM p QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, c) = 1""",
     "truth_energy": "SELECT DISTINCT 'type:' || p_type AS node, 0.9::DOUBLE AS energy FROM part UNION ALL SELECT 'type:ANY', 0.72::DOUBLE UNION ALL SELECT DISTINCT 'brand:' || p_brand, 1.0::DOUBLE FROM part UNION ALL SELECT DISTINCT 'mfgr:' || (split_part(p_brand, '#', 2)::INT % 5), 1.0::DOUBLE FROM part",
-    "conflict_resolution": """WITH c AS (SELECT l_suppkey, l_partkey, l_orderkey || ':' || l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'observation' WHEN 'A' THEN 'axiom' ELSE 'induced' END AS status, 1 - l_discount AS confidence FROM lineitem)
- SELECT l_suppkey, l_partkey, id, status, count(*) FILTER (WHERE status = 'axiom') OVER (PARTITION BY l_suppkey, l_partkey) > 1 AS review FROM c
+    "conflict_resolution": """WITH c AS (SELECT l_suppkey, l_partkey, l_orderkey || ':' || l_linenumber AS id, CASE l_returnflag WHEN 'R' THEN 'observation' WHEN 'A' THEN 'axiom' ELSE 'induced' END AS status, 1 - l_discount AS confidence, month(l_shipdate) AS says FROM lineitem),
+ c2 AS (SELECT *, CASE WHEN status = 'axiom' THEN says END AS ax FROM c)
+ SELECT l_suppkey, l_partkey, id, status, coalesce(min(ax) OVER (PARTITION BY l_suppkey, l_partkey) <> max(ax) OVER (PARTITION BY l_suppkey, l_partkey), false) AS review FROM c2
  QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY CASE status WHEN 'axiom' THEN 0 WHEN 'observation' THEN 1 ELSE 2 END, confidence DESC, id) = 1""",
     "topic_routing": r"""WITH t AS (SELECT topic, unnest(string_split(w, ' ')) AS t FROM (VALUES ('english', 'the and of that with is'), ('french', 'le la les des que est'), ('german', 'der die und das ist ein'), ('spanish', 'el los las que una es')) v(topic, w)),
  d AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS t FROM documents),
@@ -158,6 +166,19 @@ ORACLES: dict[str, str] = {
     "hot_keys": "SELECT user_id AS key, count(*) AS hits FROM events GROUP BY 1 ORDER BY hits DESC, key LIMIT 10",
     "unresolved_claims": f"WITH {EVENTS} SELECT claim, count(*) AS hits, arg_min(verdict, ts) AS verdict FROM q WHERE verdict IN ('unsupported', 'contradicted') GROUP BY claim ORDER BY hits DESC, claim LIMIT 10",
     "latency_p95": f"WITH {EVENTS} SELECT event_type, quantile_disc(latency, 0.95) AS latency, count(*) AS n FROM q GROUP BY event_type",
+    "streamed_rates": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n FROM events GROUP BY 1",
+    "rate_decay": """WITH d AS (SELECT date_trunc('day', ts) AS bucket, list({'q': 0.1::DOUBLE, 't': epoch_us(ts) / 1e6} ORDER BY ts) AS l FROM events GROUP BY 1)
+ SELECT bucket, round(list_reduce(l, lambda a, b: {'q': a.q * exp((a.t - b.t) / 10.0) + b.q, 't': b.t}).q, 6) AS ewma FROM d""",
+    "strong_components": RING + "SELECT DISTINCT s AS node, least(s, min(d) OVER (PARTITION BY s)) AS scc FROM both_ways",
+    "cyclic_levels": RING + """, kept AS (SELECT s, d FROM e WHERE NOT EXISTS (SELECT 1 FROM both_ways b WHERE b.s = e.s AND b.d = e.d)),
+ -- the highest way to a cycle's members counts for all of them
+ lv(node, level) AS (SELECT DISTINCT s, 0 FROM e WHERE s LIKE 'customer:%' UNION SELECT coalesce(b.d, k.d), level + 1 FROM lv JOIN kept k ON k.s = lv.node LEFT JOIN both_ways b ON b.s = k.d WHERE level < 6),
+ top AS (SELECT node, max(level) AS level FROM lv GROUP BY node)
+ SELECT k.d AS parent, t.level::INT AS depth, count(*) AS n FROM kept k JOIN top t ON t.node = k.d GROUP BY ALL""",
+    "anchored_proofs": f"WITH {graph('supplier_nation', 'nation_region')} SELECT s_suppkey AS req_id, b.dst_id AS node, 2 AS hops, round(a.confidence * b.confidence * 0.9, 6) AS conf FROM supplier JOIN e a ON a.src_id = 'supplier:' || s_suppkey JOIN e b ON b.src_id = a.dst_id WHERE b.dst_id = 'region:1'",
+    "sql_functions": f"""WITH {graph('nation_region', 'supplier_nation')} SELECT 'derive' AS what, dst_id AS x, pred AS y, 1::BIGINT AS n FROM e WHERE src_id = 'nation:7'
+ UNION ALL SELECT 'entails', r, CASE WHEN EXISTS (SELECT 1 FROM e WHERE src_id = 'nation:7' AND pred = 'part_of' AND dst_id = r) THEN 'entailed' ELSE 'unsupported' END, 1 FROM (VALUES ('region:3'), ('region:1')) v(r)
+ UNION ALL SELECT 'contradicts', '', '', 0""",
     "qps_windows": "SELECT date_trunc('hour', ts) AS window_start, count(*) AS n, round(count(*) / 3600.0::DOUBLE, 6) AS qps FROM events GROUP BY 1",
     "session_gaps": """WITH m AS (SELECT user_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w > 21600000000 THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  s AS (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM m), c AS (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL) SELECT user_id, count(*) AS sessions, max(n) AS longest FROM c GROUP BY user_id""",

@@ -32,6 +32,21 @@ def distinct_questions(events: DataFrame, key: list[str], ts: str = "ts", late:
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+def latest_to_end(stream: DataFrame, folder: str, checkpoint: str, key: list[str]) -> DataFrame:
+    """Runs a stream of updates over what is there and returns the last row of each key, windows that are still open included.
+
+    Each batch overwrites a folder of its own, so that a batch that is run again counts once.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    rest = [F.max_by(c, "_batch").alias(c) for c in stream.columns if c not in key]
+    return stream.sparkSession.read.parquet(f"{folder}/batch=*").groupBy(*key).agg(*rest).select(*stream.columns)
+
+
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is there and returns what it wrote to folder."""
     query = stream.writeStream.outputMode(mode).format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
