@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inferweave.functions.lineage import cut
-from inferweave.functions.scalars import positive_or, stable_relation_id
+from inferweave.functions.scalars import norm_key, positive_or, stable_relation_id
 from inferweave.operators.paths import strong_components
 
 
@@ -120,6 +120,27 @@ def dropped_edges(all_edges: DataFrame, kept: DataFrame) -> DataFrame:
     return all_edges.withColumn("_key", key("src_id", "pred", "dst_id")).join(kept.select(key("source_id", "predicate", "target_id").alias("_key")), "_key", "left_anti").drop("_key")
 
 
+def resolved_entities(entities: DataFrame) -> DataFrame:
+    """id, node for entities (id, name): ids whose own or whose name's spelling agrees, whatever the case, are one node, the least id of them.
+
+    An entity's aliases are its id and its name; the first that another entity has too (the id before the name) says
+    which node it is. Blank names are no aliases.
+    """
+    alias = F.explode(F.array(F.struct(F.lit(0).alias("turn"), norm_key(F.col("id")).alias("key")), F.struct(F.lit(1).alias("turn"), norm_key(F.col("name")).alias("key"))))
+    keyed = entities.select("id", alias.alias("a")).select("id", "a.*").where("key != ''")
+    owners = keyed.groupBy("key").agg(F.min("id").alias("owner"))
+    best = F.min_by("owner", F.struct((F.col("owner") == F.col("id")).cast("int"), "turn")).alias("node")
+    return keyed.join(owners, "key").groupBy("id").agg(best)
+
+
+def on_nodes(edges: DataFrame, resolved: DataFrame) -> DataFrame:
+    """edges (src_id, dst_id, ...) between resolved nodes; edges whose ends are aliases of one node go."""
+    of = lambda side: resolved.select(F.col("id").alias(side), F.col("node").alias(f"{side}_node"))
+    out = edges.join(of("src_id"), "src_id", "left").join(of("dst_id"), "dst_id", "left")
+    out = out.withColumn("src_id", F.coalesce("src_id_node", "src_id")).withColumn("dst_id", F.coalesce("dst_id_node", "dst_id"))
+    return out.where("src_id != dst_id").select(*edges.columns)
+
+
 def statistics(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """What the graph holds, in long form: measure, n."""
     kinds = nodes.groupBy(F.concat(F.lit("nodes:"), "kind").alias("measure")).agg(F.count("*").alias("n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inferweave.functions.lineage import cut
@@ -55,6 +55,27 @@ def shortest_distances(starts: DataFrame, edges: DataFrame, max_hops: int = 8, d
     return seen
 
 
+def shortest_paths(starts: DataFrame, edges: DataFrame, max_hops: int = 4, limit: int = 8, directed: bool = False) -> DataFrame:
+    """req_id, node, hops, nodes, ids: the shortest ways from each start (req_id, start) to every node it reaches, at most limit of each, by edge ids.
+
+    Level by level: only ways that end in a node not met before go on, so no longer way is ever made.
+    """
+    e = (edges if directed else both_ways(edges)).select("src_id", "dst_id", "edge_id")
+    level = starts.select("req_id", F.col("start").alias("node"), F.array("start").alias("nodes"), F.array().cast("array<string>").alias("ids"))
+    seen, out = level.select("req_id", "node"), None
+    for hop in range(1, max_hops + 1):
+        step = level.join(e, level["node"] == e["src_id"]).select("req_id", F.col("dst_id").alias("node"), F.concat("nodes", F.array("dst_id")).alias("nodes"), F.concat("ids", F.array("edge_id")).alias("ids"))
+        order = Window.partitionBy("req_id", "node").orderBy("ids")
+        step = step.join(seen, ["req_id", "node"], "left_anti").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+        level = cut(step)
+        if level.isEmpty():
+            break
+        found = level.select("req_id", "node", F.lit(hop).alias("hops"), "nodes", "ids")
+        out = found if out is None else out.unionByName(found)
+        seen = seen.unionByName(level.select("req_id", "node").distinct())
+    return out if out is not None else level.select("req_id", "node", F.lit(0).alias("hops"), "nodes", "ids")
+
+
 def transitive_closure(edges: DataFrame, max_hops: int = 8) -> DataFrame:
     """src_id, dst_id, hops (the least): semi-naive, each round joins only what the last one found."""
     base = edges.select("src_id", "dst_id").distinct()

@@ -192,6 +192,15 @@ def proof_json(proofs: DataFrame) -> DataFrame:
     return proofs.withColumn("proof", F.to_json(F.struct("predicate", "conf", "hops", "rule_class", "steps")))
 
 
+STEP = "struct<edge_id:string,predicate:string,source:string,target:string>"
+
+
+def proofs_of_json(rows: DataFrame) -> DataFrame:
+    """Rows with a column proof, as proof_json writes it, and what it says in columns; a broken proof is null in all of them."""
+    kind = f"struct<predicate:string,conf:double,hops:int,rule_class:string,steps:array<{STEP}>>"
+    return rows.select("*", F.from_json("proof", kind).alias("_p")).select(*rows.columns, "_p.*")
+
+
 def joined_contexts(paths: DataFrame) -> DataFrame:
     """Paths whose hops carry conditions (contexts: array of arrays of strings): their union, and confidence 0 where one contradicts another (x and not x)."""
     every = F.array_sort(F.array_distinct(F.flatten("contexts")))

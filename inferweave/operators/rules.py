@@ -51,6 +51,11 @@ def compile_rules(rules: list[Rule], registry: Registry) -> tuple[list[Rule], in
     return out, skipped
 
 
+def topic_rules(shared: list[Rule], own: dict[str, list[Rule]], topic: str) -> list[Rule]:
+    """The rules of a topic: the shared ones and then its own; none replaces another."""
+    return [*shared, *own.get(topic, [])]
+
+
 def evaluation_order(rule: Rule, bound: frozenset[str] = frozenset()) -> list[tuple] | None:
     """The conditions as a plan of joins; None if one can never be evaluated.
 

@@ -606,8 +606,12 @@ def streamed_rates(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from inferweave.plans import catalog_services  # noqa: F401  adds its queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from inferweave.plans import catalog_services
+
+    return ORACLES | catalog_services.ORACLES

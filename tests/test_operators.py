@@ -191,7 +191,7 @@ def test_snapshot(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.publish_snapshot(spark.range(7), folder, lambda d: False)
     assert sinks.read_snapshot(spark, folder).count() == 5
-    sinks.rollback_snapshot(folder)
+    sinks.rollback_snapshot(spark, folder)
     assert sinks.read_snapshot(spark, folder).count() == 3
     assert sinks.upsert(spark.range(3), spark.range(2, 5), "id").count() == 5
 
