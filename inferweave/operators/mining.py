@@ -5,8 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inferweave.functions.lineage import cut
 from inferweave.functions.registry import Registry
-from inferweave.functions.scalars import cosine, factorization_gain, neighbourhood_gain, norm_key, plausible_name
+from inferweave.functions.scalars import factorization_gain, neighbourhood_gain, norm_key, plausible_name
+
+
+#: Query vectors of a block.
+BLOCK = 256
+#: Rows of a hub that one task joins with the hub's other side.
+HUB = 1024
+
+
+def hub_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """left joined with right on keys. The left rows of a key of more than HUB rows are dealt out in parts, each of which meets
+
+    all right rows of the key: what a hub has to be joined with is spread over tasks, and no row is lost.
+    """
+    hubs = left.groupBy(*keys).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_parts")).where("_parts > 1")
+    parts = F.coalesce("_parts", F.lit(1))
+    a = left.join(hubs, keys, "left").withColumn("_part", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("_parts")
+    b = right.join(hubs, keys, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return a.join(b, [*keys, "_part"]).drop("_part")
+
+
+def ranks(rows: DataFrame, *order: Column) -> DataFrame:
+    """rows with rank, from 1 in the order, which must be total: rows are dealt out by ranges of it, and only the ranges' sizes come together."""
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row per range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(starts), "_range").withColumn("rank", (F.col("_start") + place).cast("bigint")).drop("_range", "_start")
 
 
 def degrees(edges: DataFrame, side: str = "out") -> DataFrame:
@@ -19,11 +47,16 @@ def top_degrees(edges: DataFrame, side: str, k: int, skip: int = 0) -> DataFrame
 
 
 def shared_neighbours(edges: DataFrame, role: str = "head") -> DataFrame:
-    """seed, pred, partner, shared: distinct middles that two nodes point to (head) or are pointed to from (tail) by one predicate."""
+    """seed, pred, partner, shared: distinct middles that two nodes point to (head) or are pointed to from (tail) by one predicate.
+
+    Each pair is counted once and then told both ways; a middle of many nodes is spread over tasks.
+    """
     near, far = ("src_id", "dst_id") if role == "head" else ("dst_id", "src_id")
     e = edges.select(F.col(near).alias("end"), "pred", F.col(far).alias("middle")).distinct()
-    pairs = e.withColumnRenamed("end", "seed").join(e.withColumnRenamed("end", "partner"), ["pred", "middle"]).where("seed != partner")
-    return pairs.groupBy("seed", "pred", "partner").agg(F.count("*").alias("shared"))
+    pairs = hub_join(e.withColumnRenamed("end", "low"), e.withColumnRenamed("end", "high"), ["pred", "middle"]).where("low < high")
+    counted = pairs.groupBy("low", "pred", "high").agg(F.count("*").alias("shared"))
+    way = lambda a, b: F.struct(F.col(a).alias("seed"), F.col(b).alias("partner"))
+    return counted.select(F.explode(F.array(way("low", "high"), way("high", "low"))).alias("w"), "pred", "shared").select("w.seed", "pred", "w.partner", "shared")
 
 
 def bridge_candidates(edges: DataFrame, role: str = "head", floor: int = 5) -> DataFrame:
@@ -35,9 +68,10 @@ def bridge_candidates(edges: DataFrame, role: str = "head", floor: int = 5) -> D
 
 
 def two_hop(edges: DataFrame) -> DataFrame:
-    """seed, far: distinct nodes two directed hops away."""
-    a, b = edges.select(F.col("src_id").alias("seed"), F.col("dst_id").alias("mid")), edges.select(F.col("src_id").alias("mid"), F.col("dst_id").alias("far"))
-    return a.join(b, "mid").where("seed != far").select("seed", "far").distinct()
+    """seed, far: distinct nodes two directed hops away; a middle node of many edges is spread over tasks."""
+    pairs = edges.select("src_id", "dst_id").distinct()
+    a, b = pairs.select(F.col("src_id").alias("seed"), F.col("dst_id").alias("mid")), pairs.select(F.col("src_id").alias("mid"), F.col("dst_id").alias("far"))
+    return hub_join(a, b, ["mid"]).where("seed != far").select("seed", "far").distinct()
 
 
 def missing_links(edges: DataFrame) -> DataFrame:
@@ -62,25 +96,34 @@ def predicate_inventory(edges: DataFrame, entities: DataFrame, registry: Registr
     labels = entities.select("id", F.array_distinct(F.transform("labels", lambda x: F.upper(F.trim(x)))).alias("labels"))
     out = e.groupBy("canonical").agg(F.count("*").alias("n")).select("canonical", declared.alias("declared"), F.lit("all").alias("side"), F.lit("").alias("label"), "n")
     for side, end in (("head", "src_id"), ("tail", "dst_id")):
-        typed = e.join(labels, e[end] == labels["id"]).select("canonical", F.explode("labels").alias("label"))
-        out = out.unionByName(typed.groupBy("canonical", "label").agg(F.count("*").alias("n")).select("canonical", declared.alias("declared"), F.lit(side).alias("side"), "label", "n"))
+        # counted by node first: what meets the labels is a row per node and predicate, however many edges a hub has
+        ends = e.groupBy("canonical", F.col(end).alias("id")).agg(F.count("*").alias("edges"))
+        typed = ends.join(labels, "id").select("canonical", F.explode("labels").alias("label"), "edges")
+        out = out.unionByName(typed.groupBy("canonical", "label").agg(F.sum("edges").alias("n")).select("canonical", declared.alias("declared"), F.lit(side).alias("side"), "label", "n"))
     return out
 
 
 def nearest(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """id, nearest, similarity: the most similar of the candidates (id, vector) to each query other than itself.
 
-    A stated query set against all candidates: the queries are the broadcast side only as far as Spark finds them small.
+    A stated query set against all candidates, exactly: both are brought to length 1 once, the queries are put together in
+    blocks of BLOCK, and a candidate meets a block at a time; of each block and task only the best per query goes on.
+    Vectors of no length or of another width than a query's are similar to nothing (minus infinity).
     """
-    pairs = queries.select(F.col("id").alias("q"), F.col("vector").alias("x")).join(candidates.select(F.col("id").alias("c"), F.col("vector").alias("y")), F.col("q") != F.col("c"))
-    score = F.round(cosine(F.col("x"), F.col("y")), 6)
-    return pairs.select("q", "c", score.alias("s")).groupBy("q").agg(F.max(F.struct("s", -F.col("c"))).alias("b")).select(F.col("q").alias("id"), (-F.col("b.col2")).alias("nearest"), F.col("b.s").alias("similarity"))
+    double = F.transform("vector", lambda x: x.cast("double"))
+    length = F.sqrt(F.aggregate(F.col("unit"), F.lit(0.0), lambda s, x: s + x * x))
+    unit = lambda df: df.select("id", double.alias("unit")).select("id", F.when(length > 0, F.transform("unit", lambda x: x / length)).otherwise(F.array().cast("array<double>")).alias("unit"))
+    blocks = unit(queries).groupBy(F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct(F.col("id").alias("q"), F.col("unit").alias("x"))).alias("held"))
+    pairs = unit(candidates).withColumnsRenamed({"id": "c", "unit": "y"}).join(cut(blocks))
+    fits = (F.size("x") > 0) & (F.size("x") == F.size("y"))
+    score = F.when(fits, F.round(F.aggregate(F.zip_with("x", "y", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x), 6)).otherwise(F.lit(float("-inf")))
+    scored = pairs.select("c", "y", F.inline("held")).where("q != c").select("q", "c", score.alias("s"))
+    best = scored.groupBy("q").agg(F.max(F.struct("s", -F.col("c"))).alias("b"))
+    return best.select(F.col("q").alias("id"), (-F.col("b.col2")).alias("nearest"), F.col("b.s").alias("similarity"))
 
 
 def truth_energy(edges: DataFrame, axioms: DataFrame, rounds: int = 4) -> DataFrame:
     """node, energy: the best product of confidences along a path from an axiom (energy 1), within so many rounds."""
-    from inferweave.functions.lineage import cut
-
     energy = axioms.select("node", F.lit(1.0).alias("energy"))
     e = edges.select("src_id", "dst_id", F.when(F.col("confidence") > 0, F.col("confidence")).otherwise(1.0).alias("c"))
     for _ in range(rounds):
@@ -91,8 +134,6 @@ def truth_energy(edges: DataFrame, axioms: DataFrame, rounds: int = 4) -> DataFr
 
 def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     """node, label by synchronous label propagation: the most frequent label of the neighbours, ties to the least."""
-    from inferweave.functions.lineage import cut
-
     e = cut(edges.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b")).union(edges.select("dst_id", "src_id")).distinct())
     labels = e.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     for _ in range(rounds):

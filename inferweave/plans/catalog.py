@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inferweave.functions import registry as R
@@ -429,7 +429,7 @@ def scope_coverage(spark, sf_dir):
 def rank_fusion(spark, sf_dir):
     """Suppliers by what they supply and by what they recall, fused."""
     e = kg.demo_graph(spark, sf_dir, SUPPLY).edges
-    rank = lambda p: M.degrees(e.where(F.col("pred") == p)).select(F.col("name").alias("id"), F.row_number().over(Window.orderBy(F.desc("degree"), "name")).alias("rank"))  # noqa: E731  one row per supplier
+    rank = lambda p: M.ranks(M.degrees(e.where(F.col("pred") == p)), F.desc("degree"), F.col("name")).select(F.col("name").alias("id"), "rank")
     return M.fused_ranks(rank("supplies"), rank("recalls")).select("id", r6(F.col("score"), "score"))
 
 

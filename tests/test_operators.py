@@ -319,3 +319,73 @@ def test_lowering_and_changes(spark):
     stats = G.statistics(*G.assemble(scope, up, kept, f, lifted))
     assert {r.change for r in G.statistic_changes(stats, stats).collect()} == {0}
     assert M.sample_entities(scope, 2, 1).count() == 2
+
+
+def test_cycles_of_any_length(spark):
+    import random
+
+    r = random.Random(3)
+    ring = [(f"c{i:02}", f"c{(i + 1) % 9:02}") for i in range(9)]
+    edges = ring + [("c03", "x"), ("x", "y"), ("y", "x"), ("top", "c05"), ("y", "end"), ("self", "self"), ("top", "self")]
+    edges += [(f"r{r.randint(0, 14):02}", f"r{r.randint(0, 14):02}") for _ in range(18)]
+    reach = {a: {b for x, b in edges if x == a} for a in {n for e in edges for n in e}}
+    while any(len(reach[a] | set().union(*(reach[b] for b in reach[a]), set())) > len(reach[a]) for a in reach):
+        reach = {a: reach[a] | set().union(*(reach[b] for b in reach[a]), set()) for a in reach}
+    want = {a: min(b for b in reach[a] if a in reach[b]) for a in reach if a in reach[a]}
+    got = P.strong_components(spark.createDataFrame(edges, "src_id string, dst_id string")).collect()
+    assert {x.node: x.scc for x in got} == want and len(got) == len(want)
+
+
+def test_hubs_are_spread_without_loss(spark, monkeypatch):
+    from inferweave.operators import mining as M
+
+    rows = [("hub" if i % 3 else f"k{i % 5}", i) for i in range(60)]
+    left, right = spark.createDataFrame(rows, "k string, a int"), spark.createDataFrame([(k, -i) for k, i in rows[:20]], "k string, b int")
+    want = sorted((k, a, -i) for k, a in rows for k2, i in rows[:20] if k == k2)
+    for hub in (1024, 4):
+        monkeypatch.setattr(M, "HUB", hub)
+        assert sorted(map(tuple, M.hub_join(left, right, ["k"]).select("k", "a", "b").collect())) == want
+
+
+def test_ranks_over_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from inferweave.operators import mining as M
+
+    rows = [(f"n{i}", i * 7 % 11) for i in range(40)]
+    got = {x.name: x["rank"] for x in M.ranks(spark.createDataFrame(rows, "name string, n int"), F.desc("n"), F.col("name")).collect()}
+    assert got == {n: i + 1 for i, (n, _) in enumerate(sorted(rows, key=lambda x: (-x[1], x[0])))}
+
+
+def test_nearest_of_odd_vectors(spark):
+    from inferweave.operators import mining as M
+
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.1]), (3, [0.0, 0.0]), (4, [1.0]), (5, [2.0, 0.1])]
+    v = spark.createDataFrame(rows, "id long, vector array<float>")
+    got = {x.id: (x.nearest, x.similarity) for x in M.nearest(v.where("id IN (1, 2, 3)"), v).collect()}
+    assert got[1] == (2, 0.998752) and got[2] == (5, 1.0) and got[3] == (1, float("-inf"))
+
+
+def test_table_functions(spark):
+    from inferweave.functions.registry import general
+    from inferweave.operators.reasoning import Config
+    from inferweave.plans.engine import Engine, Generation
+    from inferweave.sources.kg import Graph
+
+    edges = spark.createDataFrame([("e1", "aspirin", "is_a", "is_a", "drug's", 1.0)], "edge_id string, src_id string, pred_raw string, pred string, dst_id string, confidence double")
+    engine = Engine(spark, general(), Config(max_hops=2))
+    engine.swap(Generation("g", Graph(edges)))
+    rows = engine.sql("SELECT a.verdict, b.node FROM reason_entails(' Aspirin', 'is a', 'DRUG''s') a, REASON_DERIVE('aspirin', NULL, NULL) b").collect()
+    assert [tuple(r) for r in rows] == [("entailed", "drug's")]
+    assert engine.sql("SELECT 1 FROM REASON_CONTRADICTS('aspirin', 'is_a', 'x')").count() == 0
+    with pytest.raises(ValueError):
+        engine.sql("SELECT * FROM REASON_ENTAILS('only one')")
+
+
+def test_names_are_cut_at_bytes(spark):
+    from pyspark.sql import functions as F
+
+    from inferweave.sources.sinks import cut_bytes
+
+    df = spark.createDataFrame([("é" * 60,), ("a" + "é" * 60,), ("ab",), ("",), (None,)], "t string")
+    assert [x[0] for x in df.select(cut_bytes(F.col("t"), 100)).collect()] == ["é" * 50, "a" + "é" * 49, "ab", "", None]
