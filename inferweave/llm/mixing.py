@@ -117,6 +117,7 @@ def entropy_balance(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
     # a change is a copy more or less of a document; state keeps the places of changed documents, negative for a copy less
     state = rounded.groupBy(*keys).agg(F.max("target").alias("t"), F.sum(F.col("size") * (F.col("whole") + F.col("extra"))).alias("got"))
     state = state.select(*keys, F.round(F.col("t") - F.col("got"), 6).alias("off"), F.array().cast("array<bigint>").alias("flips"))
+    state = materialize(state, "flips")  # a row per source, whose size is known when it is joined
     held = F.col("whole") + F.col("extra")
     ways = F.array(F.when(held >= 1, F.lit(-1)), F.when(held + 1 <= cap, F.lit(1)))
     for _ in range(FLIPS):
