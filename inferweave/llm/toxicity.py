@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from inferweave.llm.common import materialize, release_memory, rows_of, ship_package, table, worker_memo
 
@@ -349,6 +349,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> np.ndarra
     return w
 
 
+def evidence_of(docs: DataFrame, keep: list[str], model: np.ndarray, lexicon: dict[str, float], name: str) -> DataFrame:
+    """The columns keep of docs (with text) and under name the SIGNS numbers of each text's evidence."""
+    ship_package(docs.sparkSession)
+    parts = docs.sparkSession.sparkContext.broadcast((model, lexicon))  # A^3 numbers, a bounded lexicon
+
+    def run(batches):
+        import pyarrow as pa
+
+        scorer = worker_scorer(*parts.value)
+        for batch in batches:
+            (texts,) = next(rows_of([batch], "text"))
+            found = pa.array([scorer.evidence(t) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, found], names=[*keep, name])
+        release_memory()
+
+    schema = StructType([*docs.select(*keep).schema.fields, StructField(name, ArrayType(DoubleType()))])
+    return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
+
+
+def free_name(taken: list[str]) -> str:
+    """A column name that isn't taken, whatever the case."""
+    name = "_evidence"
+    while name in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
+def chance(evidence: Column, weights: np.ndarray) -> Column:
+    """The logistic model's probability."""
+    total = F.lit(float(weights[0]))
+    for i, w in enumerate(weights[1:]):
+        total = total + evidence[i] * F.lit(float(w))
+    return 1 / (1 + F.exp(-F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0))))
+
+
 class Toxicity:
     """A fitted scorer: language model, lexicon, logistic weights."""
 
@@ -358,27 +393,48 @@ class Toxicity:
     def score(self, docs: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
         """The columns keep of docs (with text) and the score (0 to 1) under name; of a clash, the score stays."""
         keep = [c for c in keep if c != name]
-        ship_package(docs.sparkSession)
-        parts = docs.sparkSession.sparkContext.broadcast((self.model, self.lexicon, self.weights))  # A^3 numbers, a bounded lexicon
+        found = free_name(keep)
+        return evidence_of(docs, keep, self.model, self.lexicon, found).select(*keep, chance(F.col(found), self.weights).alias(name))
 
-        def run(batches):
-            import pyarrow as pa
 
-            model, lexicon, weights = parts.value
-            scorer = worker_scorer(model, lexicon)
-            for batch in batches:
-                (texts,) = next(rows_of([batch], "text"))
-                x = np.array([scorer.evidence(t) for t in texts]).reshape(-1, SIGNS)
-                score = 1 / (1 + np.exp(-np.clip(x @ weights[1:] + weights[0], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*batch.select(keep).columns, pa.array(score, pa.float64())], names=[*keep, name])
-            release_memory()
+def held_out_rows(doc_id: Column) -> Column:
+    return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
 
-        schema = StructType([*docs.select(*keep).schema.fields, StructField(name, DoubleType())])
-        return docs.select(*keep, *(["text"] if "text" not in keep else [])).mapInArrow(run, schema)
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id and toxic of what may be learned from: one row per document that isn't held out, toxic if one label says so."""
+    usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out_rows(F.col("doc_id")))
+    return usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
-def held_out_rows(doc_id: Column) -> Column:
-    return (F.crc32(doc_id.cast("string").cast("binary")) % 5) == 0
+
+def learn(docs: DataFrame, known: DataFrame) -> tuple[np.ndarray, dict[str, float], int, int]:
+    """Language model, lexicon, and the numbers of labels and of toxic ones."""
+    ship_package(docs.sparkSession)
+    model = log_model(trigram_counts(docs))
+    n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
+    labelled = docs.select("doc_id", "text").join(F.broadcast(known) if n <= BROADCAST_IDS else known, "doc_id")
+    return model, learn_lexicon(labelled, model), n, n_toxic
+
+
+def prior(n: int, n_toxic: int) -> np.ndarray:
+    """Weights that give every text the share of toxic labels."""
+    share = (n_toxic + 0.1) / (n + 1)
+    return np.array([math.log(share / (1 - share))] + [0.0] * SIGNS)
+
+
+def sample(known: DataFrame, n: int) -> DataFrame:
+    """About MAX_LABELLED of n labels at most."""
+    return known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n)) if n > MAX_LABELLED else known
+
+
+def learn_weights(rows: DataFrame, name: str) -> np.ndarray:
+    """The logistic weights by rows of evidence (under name) and toxic. Evidence is counted in hundredths."""
+    names = [f"x{i}" for i in range(SIGNS)]
+    rows = rows.select(*(F.round(F.col(name)[i], 2).alias(x) for i, x in enumerate(names)), (F.col("toxic") > 0).cast("bigint").alias("y"))
+    seen = rows.groupBy(*names, "y").agg(F.count("*").alias("n"))
+    data = np.array([tuple(r) for r in seen.orderBy(*names, "y").collect()], float).reshape(-1, SIGNS + 2)  # at most MAX_LABELLED rows
+    times = data[:, -1].astype(int)
+    return fit_logistic(np.repeat(data[:, :SIGNS], times, axis=0), np.repeat(data[:, SIGNS], times))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
@@ -388,34 +444,26 @@ def fit(docs: DataFrame, labels: DataFrame) -> Toxicity:
     word tells the classes apart, as with labels of one kind or none, every text gets the share of toxic labels (counted
     with a tenth of one in one more), so above 0.5 if nearly all are.
     """
-    ship_package(docs.sparkSession)
-    model = log_model(trigram_counts(docs))
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").where(~held_out_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n, n_toxic = known.agg(F.count("*"), F.count_if(F.col("toxic") > 0)).first()
-    labelled = lambda ids, few: docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
-    lexicon = learn_lexicon(labelled(known, n <= BROADCAST_IDS), model)
+    known = known_labels(labels)
+    model, lexicon, n, n_toxic = learn(docs, known)
     if not lexicon:
-        share = (n_toxic + 0.1) / (n + 1)
-        return Toxicity(model, {}, np.array([math.log(share / (1 - share))] + [0.0] * SIGNS))
-    if n > MAX_LABELLED:
-        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * MAX_LABELLED / n))
-    rows = labelled(known, True)  # about MAX_LABELLED ids at most
+        return Toxicity(model, {}, prior(n, n_toxic))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample(known, n)), "doc_id")  # about MAX_LABELLED ids at most
+    return Toxicity(model, lexicon, learn_weights(evidence_of(rows, ["toxic"], model, lexicon, "_evidence"), "_evidence"))
 
-    def run(batches):
-        import pyarrow as pa
 
-        scorer = worker_scorer(model, lexicon)
-        for texts, toxic in rows_of(batches, "text", "toxic"):
-            found = Counter((*(round(v, 2) for v in scorer.evidence(t)), int(y > 0)) for t, y in zip(texts, toxic, strict=True))
-            cols = list(zip(*((*k, n) for k, n in found.items()), strict=True)) or [[]] * (SIGNS + 2)
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.float64(),) * SIGNS + (pa.int64(),) * 2, strict=True)], names=[*names, "y", "n"])
+def fit_and_score(docs: DataFrame, labels: DataFrame, keep: list[str], name: str = "score") -> DataFrame:
+    """fit(docs, labels).score(docs, keep, name) by one reading of the texts for both: their evidence is written.
 
-    names = [f"x{i}" for i in range(SIGNS)]
-    schema = ", ".join([*(f"{x} double" for x in names), "y bigint", "n bigint"])
-    seen = rows.mapInArrow(run, schema).groupBy(*names, "y").agg(F.sum("n").alias("n"))
-    data = np.array([tuple(r) for r in seen.orderBy(*names, "y").collect()])  # at most MAX_LABELLED rows
-    times = data[:, -1].astype(int)
-    return Toxicity(model, lexicon, fit_logistic(np.repeat(data[:, :SIGNS], times, axis=0), np.repeat(data[:, SIGNS], times)))
+    keep must hold doc_id, and name is no column of keep.
+    """
+    known, found = known_labels(labels), free_name(keep)
+    model, lexicon, n, n_toxic = learn(docs, known)
+    if not lexicon:
+        return Toxicity(model, {}, prior(n, n_toxic)).score(docs, keep, name)
+    rows = materialize(evidence_of(docs, keep, model, lexicon, found), "evidence")
+    weights = learn_weights(rows.select("doc_id", found).join(F.broadcast(sample(known, n)), "doc_id"), found)
+    return rows.select(*keep, chance(F.col(found), weights).alias(name))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -424,7 +472,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Null and empty texts have no evidence and get the score of such texts. A null id is not held out. Repeated rows
     are scored alike; an empty table gives an empty table.
     """
-    out = fit(docs, labels).score(docs, ["doc_id"])
+    out = fit_and_score(docs, labels, ["doc_id"])
     held = F.coalesce(held_out_rows(F.col("doc_id")), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 

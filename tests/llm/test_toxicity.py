@@ -147,3 +147,15 @@ def test_every_spaced_word_is_looked_for():
     for _ in range(3000):
         text = "".join(random_.choice(["a", "b", "1", " ", " ", ".", "*", "x y", "!", "cd"]) for _ in range(random_.randint(4, 14)))
         assert not X.SPACED.search(text) or X.SPACED_END.search(text)
+
+
+def test_fit_and_score_is_fit_then_score(documents, spark, monkeypatch):
+    rows, labels = labelled(documents, spark, 150, 9)
+    docs = documents([*rows, (900, None), (None, "the idiot"), (3, "a second row")])
+    key = lambda r: (str(r.doc_id), round(r.score, 9))
+    for most in (X.MAX_LABELLED, 60):
+        monkeypatch.setattr(X, "MAX_LABELLED", most)
+        once, twice = X.fit_and_score(docs, labels, ["doc_id"]), X.fit(docs, labels).score(docs, ["doc_id"])
+        assert once.columns == twice.columns == ["doc_id", "score"]
+        assert sorted(map(key, once.collect())) == sorted(map(key, twice.collect()))
+    assert X.free_name(["doc_id", "_Evidence"]) == "_evidence_"
