@@ -14,7 +14,7 @@ from inferweave.llm.line_dedup import dedup_lines
 from inferweave.llm.mixing import entropy_balance, word_count
 from inferweave.llm.near_dedup import BROADCAST_IDS, near_duplicates
 from inferweave.llm.sentencepiece_bpe import encode_documents, public_model
-from inferweave.llm.toxicity import fit
+from inferweave.llm.toxicity import fit_and_score
 
 
 def packed(docs: DataFrame, *own: str) -> DataFrame:
@@ -33,8 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts stay. An empty table gives an empty table; so in all stages.
     """
-    scorer = fit(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    scored = scorer.score(packed(docs, "doc_id", "text"), ["doc_id", "text", "_rest"])
+    scored = fit_and_score(packed(docs, "doc_id", "text"), table(spark, sf_dir, "labels"), ["doc_id", "text", "_rest"])
     return unpacked(scored.where("score < 0.5"), docs, "doc_id", "text")
 
 
