@@ -50,6 +50,7 @@ BONUS = 2.0
 TRAILING = re.compile(r"""(?:([%$#&*!?~=+])\1\1+|[.,;:!?"')\]}>»”’*%#&…-])+$""")
 LEADING = re.compile(r"""^["'(\[{<«“‘*#%&¿¡-]+""")
 SIGN = re.compile(r"[^\W\d_].*[^a-zA-ZÀ-ɏ]|[^a-zA-ZÀ-ɏ].*[^\W\d_]")
+REPEATED = re.compile(r"(.)\1+", re.DOTALL)
 DOUBLE, RUN = re.compile(r"([^\W\d_])\1"), re.compile(r"([^\W\d_])\1\1")
 #: Three or more letters, or signs that may stand for letters, each repeated or not, with separators between them.
 ONE = r"[^\W_]|[@$!|+(€]"
@@ -303,19 +304,40 @@ def learn_lexicon(labelled: DataFrame, model: np.ndarray) -> dict[str, float]:
 
 
 class Scorer(dict):
-    """Weights of tokens (0: none), remembered; evidence of texts."""
+    """Weights of tokens (0: none), remembered; evidence of texts.
+
+    Most tokens are letters that begin as no feature of the lexicon does, and are known to weigh nothing without their
+    readings: all readings of letters are these letters, some of them once more or less, so that without repetition
+    they begin alike.
+    """
 
     def __init__(self, model: np.ndarray, lexicon: dict[str, float]):
         self.restorer, self.lexicon = Restorer(model), lexicon
+        roots = {REPEATED.sub(r"\1", f[1:])[:3] for f in lexicon}
+        self.roots, self.short = {r for r in roots if len(r) == 3}, tuple(r for r in roots if len(r) < 3)
+        self.before: dict[str, float] = {}
+
+    def weightless(self, token: str) -> bool:
+        """True only if no reading of the token has a weight; False if that isn't plain from its first three letters."""
+        word = token.rstrip(".,;:!?")
+        if not word.isalpha():
+            return False
+        low = word.lower()
+        head = low[:3]
+        return len(head) == 3 and head[0] != head[1] != head[2] and head not in self.roots and not head.startswith(self.short) and low.isalpha()
 
     def weight(self, word: str) -> float:
         get = self.lexicon.get
         return max([get("=" + word, 0.0), *(get("^" + word[:n], 0.0) for n in PREFIXES if len(word) >= n)])
 
     def __missing__(self, token: str) -> float:
-        if len(self) >= MEMO:
+        if len(self) >= MEMO // 2:  # what comes up again moves on to the new half
+            self.before = dict(self)
             self.clear()
-        out = self[token] = max([0.0, *map(self.weight, self.restorer.words(token))])
+        out = self.before.get(token)
+        if out is None:
+            out = 0.0 if self.weightless(token) else max([0.0, *map(self.weight, self.restorer.words(token))])
+        self[token] = out
         return out
 
     def evidence(self, text: str | None) -> tuple[float, ...]:

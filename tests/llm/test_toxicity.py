@@ -159,3 +159,17 @@ def test_fit_and_score_is_fit_then_score(documents, spark, monkeypatch):
         assert once.columns == twice.columns == ["doc_id", "score"]
         assert sorted(map(key, once.collect())) == sorted(map(key, twice.collect()))
     assert X.free_name(["doc_id", "_Evidence"]) == "_evidence_"
+
+
+def test_tokens_known_to_weigh_nothing(model, monkeypatch):
+    random_ = random.Random(6)
+    token = lambda: "".join(random_.choice("abcéñÉAσΣİß") * random_.choice([1, 1, 1, 2, 3]) for _ in range(random_.randint(1, 6)))
+    lexicon = {"=ab": 2.0, "=aabba": 3.0, "^abba": 4.0, "=cé": 5.0, "^bcbc": 1.5, "=bcab": 6.0}
+    monkeypatch.setattr(X, "MEMO", 400)
+    s, known = X.Scorer(model, lexicon), 0
+    for _ in range(6000):
+        t = token() + random_.choice(["", "", ".", "!", "!!", "?!", ",", "1", "'"])
+        slow = max([0.0, *map(s.weight, s.restorer.words(t))])
+        assert s[t] == slow and (not s.weightless(t) or slow == 0)
+        known += s.weightless(t)
+    assert known > 300 and len(s) <= 200
