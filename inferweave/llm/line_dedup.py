@@ -20,7 +20,8 @@ from inferweave.llm.common import WORD, materialize, table
 
 #: One word of fewer would be too large a part of the line.
 MIN_WORDS = 8
-BLANK = "^[\\x20\\x09-\\x0D]*$"
+#: Found in lines that have a word. Anchors wouldn't do: Java's $ also matches before a last line separator.
+FILLED = "[^\\x20\\x09-\\x0D]"
 #: Up to so many lines are broadcast to filter the documents; above, they are joined by shuffle. A line is numbers only,
 #: of about 100 bytes (two keys, its place and id, three flags), so this is 50 MB at most.
 BROADCAST_ROWS = 500_000
@@ -80,7 +81,8 @@ def kept_lines(docs: DataFrame) -> DataFrame:
     rid is a hash of doc_id and text; rows that agree in both are one document here.
     """
     rows = keyed(docs)
-    lines = rows.select("doc_key", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("words", words_of(F.col("line"))).withColumn("w", F.size("words")).where("w > 0")
+    lines = rows.select("doc_key", "rid", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(FILLED))  # not by w: words would be found twice
+    lines = lines.withColumn("words", words_of(F.col("line"))).withColumn("w", F.size("words"))
     lines = lines.select("doc_key", "pos", "rid", "w", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit("2"), "words").alias("h2"), F.when(F.col("w") >= MIN_WORDS, half_keys(F.col("words"), F.col("w"))).alias("halves"))
     distinct = lines.groupBy("h1", "h2", "w").agg(F.min(F.struct("doc_key", "pos", "rid")).alias("first"), F.any_value("halves").alias("halves"))
     distinct = materialize(distinct.select(F.monotonically_increasing_id().alias("line_id"), "w", "first", "halves"), "lines")
@@ -147,7 +149,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = keyed(packed).join(keep, ["doc_key", "rid"], "left").withColumn("keep", F.coalesce("keep", F.array().cast("array<int>")))
 
     def rebuilt(lines: Column) -> Column:
-        blank = lambda x: x.rlike(BLANK)
+        blank = lambda x: ~x.rlike(FILLED)
         few = F.array_join(F.transform(lines, lambda x, i: F.when(blank(x) | F.array_contains("keep", i), x)), "\n")
         # with many lines, looking each up among the kept ones would take the square of their number
         blanks = F.filter(F.transform(lines, lambda x, i: F.when(blank(x), i)), lambda i: i.isNotNull())

@@ -86,3 +86,9 @@ def test_names_that_clash(spark, documents):
     assert {i: (r["text"], r["n_lines"], r["n_kept"]) for i, r in got.items()} == {1: ("x\ny", 2, 2), 2: ("z", 2, 1), 3: (None, 0, 0)}
     for r in got.values():
         assert all(r[c] == c for c in ("_made", "made", "a.b", "keep", "rid", "doc_key", "KEEP2", "others", "lang"))
+
+
+def test_a_line_separator_is_a_word(documents):
+    got = {r.doc_id: r for r in L.dedup_lines(documents([(1, "\u2028\na"), (2, "\u2028\n \nb")])).collect()}
+    assert (got[1].text, got[1].n_lines, got[1].n_kept) == ("\u2028\na", 2, 2)
+    assert (got[2].text, got[2].n_lines, got[2].n_kept) == (" \nb", 2, 1)
