@@ -118,7 +118,7 @@ def near_lines(rows: DataFrame, maybe: DataFrame) -> DataFrame:
     found = materialize(found.dropDuplicates(["line_id"]).withColumn("words", words_of(F.col("line"))).drop("line").withColumn("w", F.size("words")), "words")
 
     me = F.struct("doc_key", "pos", "line_id")
-    keys = found.select(me.alias("me"), F.explode(variants(*map(F.col, ("words", "w", "whole", "longer", "same")))).alias("v")).select("me", "v.*")
+    keys = materialize(found.select(me.alias("me"), F.explode(variants(*map(F.col, ("words", "w", "whole", "longer", "same")))).alias("v")).select("me", "v.*"), "variants")  # read twice below
     earliest = (
         keys.groupBy("key")
         .agg(F.count("*").alias("n"), *[F.min(F.when(F.col("role") == r, F.col("me"))).alias(f"e{r}") for r in (0, 1, 2)])
