@@ -191,7 +191,7 @@ def plausible_entities(spark, sf_dir):
 @query
 def tautology_filter(spark, sf_dir):
     conv = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.split("text", " ").alias("w"))
-    claims = conv.select("conv_id", "turn", F.get("w", 0).alias("s"), F.when(F.col("turn") % 2 == 0, "inhibits").otherwise("treats").alias("p"), F.when(F.col("conv_id") % 3 == 0, F.upper(F.get("w", 0))).otherwise(F.get("w", 1)).alias("o"))
+    claims = conv.select("conv_id", "turn", F.get("w", 0).alias("s"), F.when(F.col("turn") % 2 == 0, "inhibits").otherwise("treats").alias("p"), F.when(F.col("conv_id") % 3 == 0, S.upper_by_letter(F.get("w", 0))).otherwise(F.get("w", 1)).alias("o"))
     return claims.where("o IS NOT NULL").where(~S.tautology(F.col("s"), F.col("p"), F.col("o"), R.medical().reflexive())).groupBy("p").agg(F.count("*").alias("n"))
 
 
